@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, jaccard_join, langid, mixing, quality, sharding, toxicity
+from millrace.llm import decontamination, jaccard_join, langid, mixing, quality, sharding, token_output, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_token_output": token_output.op5_token_output,
     "op6_quality": quality.op6_quality,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_langid": langid.op9_langid,
