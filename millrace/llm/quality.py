@@ -30,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split, but not here.
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ENDS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？", "؟", "।")
 _BOILERPLATE = re.compile(
     r"\b(?:all rights reserved|licensed under|terms of (?:use|service)|privacy policy|cookie(?:s| policy)|subscribe (?:now|to)|sign (?:in|up)|log ?in|"

@@ -36,7 +36,7 @@ NO_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a worker keeps before it starts over.
 KEPT = 600_000
-_SPACE = "\t\n\v\f\r \x85\xa0                　"
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"[{_SPACE}]+[^{_SPACE}]*|[^{_SPACE}]+")
 _ENCODERS: dict[str, Encoder] = {}
 
