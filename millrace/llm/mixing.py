@@ -62,7 +62,7 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
     left = F.col("budget") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
     weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     rows = rows.withColumn("level", left / weights).withColumn("clamped", F.col("level") * F.col("weight") > F.col("cap"))
-    level = F.min(F.when(~F.col("clamped"), F.col("level"))).over(everything)
+    level = F.max(F.when(~F.col("clamped"), F.col("level"))).over(everything)  # the first that is not clamped has the largest
     rows = rows.withColumn("free_level", level)
     target = F.when(F.col("clamped") | F.col("free_level").isNull(), F.col("cap")).otherwise(F.col("free_level") * F.col("weight"))
     return rows.select("src", "source_size", "weight", target.alias("target"))
@@ -102,6 +102,26 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """docs as the mix takes them: a row for each whole repetition, and one cut after some words for a partial one."""
+    drawn = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0 OR extra > 0")
+    full = F.col("repeats") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)
+    part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.col("extra"))
+    nth = lambda order: F.row_number().over(Window.partitionBy("__key").orderBy(order))
+    drawn = drawn.select(F.col("key").alias("__key"), full.alias("__full"), part.alias("__part"), F.col("start").alias("__start"))
+    drawn = drawn.withColumn("__nth", nth("__start"))
+    seed = options.get("seed", SEED)
+    keyed = docs.withColumn("__key", order_key(F.col(id_col), text_of(text_col), seed)).withColumn("__nth", nth(F.lit(0)))
+    joined = keyed.join(drawn, ["__key", "__nth"])
+    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__full").cast("int")), F.filter(F.array("__part"), lambda p: p.isNotNull()))
+    rows = joined.withColumn("__take", F.explode(takes))
+    cut = F.col("__take") >= 0
+    rows = rows.withColumn(text_col, F.when(cut, first_words(text_of(text_col), F.col("__take"))).otherwise(F.col(text_col)))
+    if length_col in docs.columns:
+        rows = rows.withColumn(length_col, F.when(cut, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = F.col("size") * F.col("repeats") + F.col("extra")
@@ -127,7 +147,7 @@ WITH docs AS (
   WINDOW upto AS (ORDER BY cap / weight, src ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), filled AS (
   SELECT *, level * weight > cap AS clamped,
-         min(CASE WHEN NOT level * weight > cap THEN level END) OVER () AS free_level
+         max(CASE WHEN NOT level * weight > cap THEN level END) OVER () AS free_level
   FROM levels
 ), targets AS (
   SELECT src, source_size, CASE WHEN clamped OR free_level IS NULL THEN cap ELSE free_level * weight END AS target FROM filled
