@@ -136,12 +136,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     found = report(docs, benchmark, id_col, text_col, item_col, item_text).where("n_hit > 0")
-    found = found.dropDuplicates(["id", "version"]).select(F.col("id").alias("_id"), F.col("version").alias("_v"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_bad"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_v"))
+    found = found.dropDuplicates(["id", "version"]).select(F.col("id").alias("__found_id"), F.col("version").alias("__found_v"), F.col("spans").alias("__found_spans"), F.col("contaminated").alias("__found_bad"))
+    same = F.col(id_col).eqNullSafe(F.col("__found_id")) & (F.xxhash64(text_of(text_col)) == F.col("__found_v"))
     if remove == "documents":
-        return docs.join(found.where("_bad"), same, "left_anti")
+        return docs.join(found.where("__found_bad"), same, "left_anti")
     joined = docs.join(found, same, "left")
-    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without_spans(text_of(text_col), F.col("_spans")))
+    cut = F.when(F.col("__found_spans").isNull(), F.col(text_col)).otherwise(without_spans(text_of(text_col), F.col("__found_spans")))
     return joined.withColumn(text_col, cut).select(*docs.columns)
 
 

@@ -256,6 +256,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return named.join(least, "root", "left").select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest id; of rows equal in id and text, one."""
+    kept = join(docs, id_col, text_col, words, percent).where(F.col("component").eqNullSafe(F.col("id"))).select(F.col("id").alias("__kept_id")).distinct()
+    left = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    return left.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

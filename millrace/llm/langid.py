@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.arrow import pieces
 
 DIM = 1024
 SEED = 20_240_917
 UNKNOWN = "und"
+#: A text that shares no trigram with any language has a cosine of 0 with a deviation of 1 / sqrt(DIM), about 0.03.
+MIN_SCORE = 0.04
 #: Trigram vectors a worker keeps before it starts over; 64 MB.
 KEPT = 65_536
 _FOLD = None
@@ -123,10 +126,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang_pred, score (and the columns to carry) for every document."""
+    """id, lang_pred, score (and, as the struct `carried`, the columns to carry) for every document."""
     names, matrix = list(prototypes), np.array(list(prototypes.values()))
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + (f", {fields}" if carry else "")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    fields = [T.StructField("id", rows.schema["_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields + [rows.schema[c] for c in rows.columns[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space()
@@ -143,10 +147,16 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 best = int(np.argmax(cosines))
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            rest = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *rest], ["id", "lang_pred", "score", *carry])
+            rest = ["carried"] if carry else []
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(c) for c in rest)], ["id", "lang_pred", "score", *rest])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in a learned language."""
+    found = identify(docs, prototypes, id_col, text_col, carry=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("carried.*")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -126,6 +126,16 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     return place(rows, slot_map)
 
 
+def assigned(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """docs with virtual_slot, shard and map_version: texts are not moved, since the map (SLOTS rows at most) is broadcast."""
+    slot_map = materialize(build_map(slot_bytes(measured(docs, id_col, text_col, slots)), shards))
+    slot_map = slot_map.select(F.col("virtual_slot").alias("__slot"), F.col("shard").alias("__shard"), F.col("version").alias("__version"))
+    keyed = docs.withColumn("__at", slot_of(F.col(id_col), text_of(text_col), slots))
+    joined = keyed.join(F.broadcast(slot_map), F.col("__at") == F.col("__slot"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("virtual_slot", "shard", "map_version")]
+    return joined.select(*own, F.col("__slot").alias("virtual_slot"), F.col("__shard").alias("shard"), F.col("__version").alias("map_version"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
     return placed.select(
