@@ -118,6 +118,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     order = [F.md5(F.col("id").cast("string").cast("binary")), F.col("id")]
     sample = rows.where("label = 1").orderBy(*order).limit(MAX_PER_CLASS).unionByName(rows.where("label = 0").orderBy(*order).limit(MAX_PER_CLASS))
     model = sample.repartition(1).sortWithinPartitions("id").mapInArrow(_fit_task, "places binary, weights binary, bias double").first()
+    if model is None:  # no label at all
+        return fit([], np.empty(0, np.int8))
     weights = np.zeros(1 << BITS, np.float32)
     weights[np.frombuffer(model["places"], np.int32)] = np.frombuffer(model["weights"], np.float32)
     return weights, model["bias"]
