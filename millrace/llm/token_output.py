@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -35,20 +36,46 @@ END_ID = 2
 NO_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a worker keeps before it starts over.
-KEPT = 600_000
+KEPT = 2_000_000
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"[{_SPACE}]+[^{_SPACE}]*|[^{_SPACE}]+")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+#: A word of letters, and signs of which the tokenizer's pattern makes one piece apart; both below U+0250, where Python's
+#: letters are the pattern's.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:#$%&*|]*)")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in the vocabulary: itself if it prints, else one from U+0100 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in prints else next(spare)) for b in range(256)]
+
+
+_BYTES = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
+
+
 class _Words(dict):
     """Number of each word; a new word gets the next one and waits to be encoded."""
 
-    def __init__(self, encoder: Encoder, prefix: str) -> None:
-        self.encoder, self.prefix = encoder, prefix
+    def __init__(self, encoder: Encoder, later: bool) -> None:
+        self.encoder, self.later = encoder, later
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = self.encoder.add(self.prefix + word, bool(self.prefix) and (not word or word[0] in _SPACE))
+        encoder = self.encoder
+        if not self.later:
+            new = word
+        elif simple := _SIMPLE.fullmatch(word):
+            new = encoder.piece(" " + simple[1]) + (encoder.piece(simple[2]) if simple[2] else [])
+        elif not word or word[0] in _SPACE:
+            encoder.unsafe.add(len(encoder.waiting) + encoder.known)
+            new = []
+        else:
+            new = " " + word
+        encoder.waiting.append(new)
+        number = self[word] = encoder.known + len(encoder.waiting) - 1
         return number
 
 
@@ -58,40 +85,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.reset()
 
     def reset(self) -> None:
-        self.first, self.later, self.cut = _Words(self, ""), _Words(self, " "), _Words(self, "")
-        self.waiting: list[str] = []
+        self.first, self.later, self.cut = _Words(self, False), _Words(self, True), _Words(self, False)
+        self.waiting: list[str | list[int]] = []
         self.unsafe: set[int] = set()
         self.pool, self.used = np.empty(1 << 20, np.uint16), 0
-        self.start, self.length, self.known, self.count = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0, 0
+        self.start, self.length, self.known = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
 
-    def add(self, segment: str, unsafe: bool) -> int:
-        if unsafe:
-            self.unsafe.add(self.count)
-        self.waiting.append(segment)
-        self.count += 1
-        return self.count - 1
+    def piece(self, text: str) -> list[int]:
+        """Ids of what the tokenizer's pattern takes as one piece."""
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]
 
     def _encode_waiting(self) -> None:
-        for i in range(0, len(self.waiting), 10_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting[i : i + 10_000], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(lengths.sum()), len(ids)
-            while self.used + total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while self.known + n > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-            self.pool[self.used : self.used + total] = np.fromiter((t for x in ids for t in x), np.uint16, total)
-            self.length[self.known : self.known + n] = lengths
-            self.start[self.known : self.known + n] = self.used + np.cumsum(lengths) - lengths
-            self.used, self.known = self.used + total, self.known + n
-        self.waiting = []
+        if not self.waiting:
+            return
+        other = [i for i, w in enumerate(self.waiting) if isinstance(w, str)]
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([self.waiting[i] for i in other], add_special_tokens=False), strict=True):
+            self.waiting[i] = e.ids
+        n = len(self.waiting)
+        lengths = np.fromiter(map(len, self.waiting), np.int64, n)
+        total = int(lengths.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while self.known + n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(self.waiting), np.uint16, total)
+        self.length[self.known : self.known + n] = lengths
+        self.start[self.known : self.known + n] = self.used + np.cumsum(lengths) - lengths
+        self.used, self.known, self.waiting = self.used + total, self.known + n, []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END_ID, and the number of ids of each."""
-        if self.count > KEPT:
+        if self.known > KEPT:
             self.reset()
         numbers, sizes = [], []
         for text in texts:
@@ -181,7 +209,8 @@ def read(shards: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(starts + start), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(F.col("path")).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    # By number, since the planner would put the few rows into one task.
+    return placed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
