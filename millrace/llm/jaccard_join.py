@@ -5,9 +5,11 @@ of documents the points are packed into an R-tree; for a query, the overlap with
 of the coordinates' minima of the query and the node's upper corner, so nodes, then points, that can't reach the overlap
 that the similarity asks for are passed over, and the surviving pairs are verified on the sets themselves.
 
-Blocks come from the same hashing, so that no link is lost and no task holds everything: sets of similar size are cut into
-more groups than two linked sets can have differences (the bound follows from the similarity and the sizes), so at least one
-group, empty ones aside, is the same in both. Documents that share such a group, directly or through others, make a block.
+Blocks keep links whole without holding everything in one task: of two linked sets of n shingles or more, any order of all
+shingles has one of both among the first n - ceil(n * percent / 100) + 1 of either. The order is by how often a
+shingle and its words are met in the corpus, rarest first, so common phrases and passages that many documents share come
+last and bring nobody together; the counts are a sketch of fixed size over all documents, and no result depends on them. Sets meet only inside a level of
+sizes, and those that meet there, directly or through others, make a block.
 
 Equal sets are one node. A link between nodes that are already in one component is not verified again, so a group of many
 near copies costs about one verification for each; blocks over MAX_BLOCK are joined chunk by chunk with common pivots, and
@@ -23,16 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import pieces, utf8
 from millrace.llm.graph import components
-from millrace.llm.shingles import mix, set_id, shingle_sets
+from millrace.llm.shingles import mix, set_id, shingle_sets, shingle_sets_with_cost, word_hashes
 from millrace.session import materialize
 
 WORDS = 5
 PERCENT = 80
+#: Places of each half of the sketch, 16 MB in all, and rows in which it is added up.
+SKETCH_BITS = 21
+SKETCH_PARTS = 8
 #: Coordinates of a point.
 GROUPS = 64
 LEAF = 16
@@ -43,66 +49,115 @@ PIECE = 1 << 20
 _STEP = 1.6
 
 
-def levels(percent: int, top: int) -> list[tuple[int, int, int, int]]:
-    """(from size, to size, groups, spare) for the levels up to size top, both ends included.
+def levels(percent: int, top: int) -> list[tuple[int, int]]:
+    """(from size, to size) of the levels up to size top, both ends included.
 
-    A pair belongs to the level of its smaller set's size; its larger one is at most 100 / percent times that. Of `groups`
-    at most groups - 1 - spare can differ between linked sets.
+    A pair belongs to the level of its smaller set's size; its larger one is at most 100 / percent times that. Levels where
+    only equal sets can be linked are left out.
     """
     out, low = [], 1
     while low <= top:
         high = max(low, int(low * _STEP) - 1)
         other = high * 100 // percent
-        differ = (high + other) * (100 - percent) // (100 + percent)
-        if differ:
-            spare = 1 if differ < 20 else -(-differ * 6 // 100)
-            out.append((low, other, differ + 1 + spare, spare))
+        if (high + other) * (100 - percent) // (100 + percent):
+            out.append((low, other))
         low = high + 1
     return out
 
 
-def group_signatures(shingles: np.ndarray, of: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """A hash for each group of the set at each level its size takes part in."""
-    n, found = len(shingles), []
-    for low, high, groups, spare in of:
-        if not low <= n <= high:
-            continue
-        place = (mix(shingles + np.uint64(low)) % np.uint64(groups)).astype(np.int64)
-        mixed = mix(shingles ^ np.uint64(0x5DEECE66D5DEECE6))
-        # Sums modulo 2**64 in two halves, each exact in double precision.
-        lo = np.bincount(place, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), groups).astype(np.uint64)
-        hi = np.bincount(place, (mixed >> np.uint64(32)).astype(np.float64), groups).astype(np.uint64)
-        named = mix((hi << np.uint64(32)) + lo + mix(np.arange(groups, dtype=np.uint64) + np.uint64(low << 32)))
-        empty = np.bincount(place, minlength=groups) == 0
-        # With more empty groups than spare, the group that both share might be an empty one.
-        found.append(named if empty.sum() > spare else named[~empty])
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
-
-
-def _describe(words: int, percent: int):
+def rarest(shingles: np.ndarray, word_cost: np.ndarray, cost: np.ndarray, percent: int) -> np.ndarray:
+    """As many of the set's cheapest shingles as two linked sets can't both do without.
+
+    A shingle costs the logs of its words' counts and of its own: shingles of common words are likely common, whatever the
+    sketch's noise, and those of a shared passage are seen by their own counts.
+    """
+    n = len(shingles)
+    many = n - -(-n * percent // 100) + 1
+    own = cost[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    return shingles[np.lexsort((shingles, word_cost + 4 * own))[:many]]
+
+
+def _sketch(words: int):
+    """One row per task: how often words, then shingles of sets, are met at each of the places they are hashed to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = levels(percent, 1 << 12), set()
+        counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         for batch in pieces(batches, limit=PIECE):
-            sets = shingle_sets(*utf8(batch.column("text")), words)
+            text = utf8(batch.column("text"))
+            for row, hashes in zip(counts, (word_hashes(*text)[0], np.concatenate(shingle_sets(*text, words))), strict=True):
+                row += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(row))
+        yield _packed(counts)
+
+    return run
+
+
+def _packed(counts: np.ndarray) -> pa.RecordBatch:
+    raw = np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(raw)], pa.binary())], ["counts"])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32).astype(np.int64).reshape(2, -1)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+    for batch in batches:
+        for raw in batch.column(0):
+            counts += _unpacked(raw.as_py())
+    yield _packed(counts)
+
+
+def sketch(texts: DataFrame, words: int) -> np.ndarray:
+    """Costs (256 times the log of the counts over all documents) of words and of shingles, by place.
+
+    SKETCH_PARTS rows of a fixed size come to the driver, whatever the input.
+    """
+    rows = texts.select("text").mapInArrow(_sketch(words), "counts binary").repartition(SKETCH_PARTS).mapInArrow(_added, "counts binary")
+    counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+    for r in rows.collect():
+        counts += _unpacked(bytes(r["counts"]))
+    return np.rint(256 * np.log2(counts + 1)).astype(np.int32)
+
+
+_LEVELS = pa.list_(pa.struct([("vertex", pa.int64()), ("sigs", pa.list_(pa.int64()))]))
+
+
+def _describe(words: int, percent: int, shared):
+    """id, size, node, and for the first of a node in each task its vertices: one per level, with its rarest shingles there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen, (word_cost, cost) = levels(percent, 1 << 12), set(), shared.value
+        for batch in pieces(batches, limit=PIECE):
+            sets, costs = shingle_sets_with_cost(*utf8(batch.column("text")), words, word_cost)
             sizes = np.array([len(s) for s in sets], np.int64)
             if sizes.max(initial=0) * 2 > of[-1][0]:
                 of = levels(percent, int(sizes.max()) * 2)
             nodes = [set_id(s) if len(s) else None for s in sets]
-            sigs = []
-            for node, s in zip(nodes, sets, strict=True):
-                new = node is not None and node not in seen
-                if new:
+            vertices, sigs, per_row = [], [], []
+            for node, s, of_words in zip(nodes, sets, costs, strict=True):
+                mine = []
+                if node is not None and node not in seen:
                     seen.add(node)
-                sigs.append(group_signatures(s, of).view(np.int64) if new else np.empty(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(nodes, pa.int64()), lists], ["id", "n_shingles", "node", "sigs"])
+                    mine = [level for level in of if level[0] <= len(s) <= level[1]]
+                per_row.append(len(mine))
+                first = rarest(s, of_words, cost, percent) if mine else None
+                for low, _ in mine:
+                    at = mix(np.array([low], np.uint64))
+                    vertices.append(mix(np.array([node], np.int64).view(np.uint64) + at).view(np.int64)[0])
+                    sigs.append(mix(first + at).view(np.int64))
+            upto = lambda n: pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32))
+            flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
+            groups = pa.ListArray.from_arrays(upto([len(x) for x in sigs]), flat)
+            structs = pa.StructArray.from_arrays([pa.array(np.array(vertices, np.int64)), groups], ["vertex", "sigs"])
+            rows = pa.ListArray.from_arrays(upto(per_row), structs).cast(_LEVELS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(nodes, pa.int64()), rows], ["id", "n_shingles", "node", "levels"])
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig and node: ties every node to the first of its sig. Holds one batch and one row, whatever a sig's rows."""
+    """Rows sorted by sig and vertex: ties every vertex to the first of its sig. Holds one batch and one row, whatever a sig's rows."""
     sig, hub = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -214,20 +269,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """(id, n_shingles, component) for every row: component is the smallest id reachable by links, its own included."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    described = materialize(slim.mapInArrow(_describe(words, percent), f"id {kind}, n_shingles long, node long, sigs array<bigint>"))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(slim, words))
+    described = materialize(slim.mapInArrow(_describe(words, percent, shared), f"id {kind}, n_shingles long, node long, levels array<struct<vertex:bigint,sigs:array<bigint>>>"))
 
-    sigs = described.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node")
-    stars = sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long")
-    blocks = components(stars).withColumnRenamed("root", "block")
+    # Only sets that meet at a level are compared there, so blocks don't grow together over levels.
+    vertices = described.where(F.size("levels") > 0).select("node", F.inline("levels"))
+    sigs = vertices.select(F.explode("sigs").alias("sig"), "vertex").repartition("sig").sortWithinPartitions("sig", "vertex")
+    blocks = components(sigs.mapInArrow(_stars, "a long, b long"))
+    in_block = materialize(blocks.select(F.col("node").alias("vertex"), F.col("root").alias("block")).join(vertices.select("node", "vertex"), "vertex").select("node", "block").distinct())
 
     # One document stands for each node of a block; only those texts are read again.
-    stand_ins = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id")).join(blocks, "node")
-    stand_ins = materialize(stand_ins)
+    stand_ins = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id")).join(in_block.select("node").distinct(), "node")
     same = F.col("s.id").eqNullSafe(F.col("d.id"))
     texts = materialize(slim.alias("d").join(stand_ins.alias("s"), same).select("s.node", "d.text"))
 
-    counted = stand_ins.groupBy("block").agg(F.count("*").alias("m"))
-    members = stand_ins.join(counted, "block").withColumn("chunks", F.ceil(F.col("m") / (MAX_BLOCK // 2)).cast("int"))
+    counted = in_block.groupBy("block").agg(F.count("*").alias("m"))
+    members = in_block.join(counted, "block").withColumn("chunks", F.ceil(F.col("m") / (MAX_BLOCK // 2)).cast("int"))
     members = materialize(members.withColumn("chunk", F.when(F.col("m") <= MAX_BLOCK, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("chunks")))).select("node", "block", "m", "chunks", F.col("chunk").cast("int").alias("chunk")))
     pivot = (F.col("m") > MAX_BLOCK) & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("m")) < PIVOTS)
     in_parts = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
@@ -251,7 +308,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         links = materialize(links.unionByName(_links(second, texts, words, percent)))
         roots = components(links)
 
-    named = described.drop("sigs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = described.drop("levels").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where(F.col("node").isNotNull()).groupBy("root").agg(F.min("id").alias("component"))
     return named.join(least, "root", "left").select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 

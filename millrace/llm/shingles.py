@@ -52,26 +52,43 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(h + (stops - starts).astype(np.uint64)), counts
 
 
-def shingle_sets(raw: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer words than a shingle make one of them all."""
+def _shingles(raw: np.ndarray, ends: np.ndarray, words: int, cost: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     h, counts = word_hashes(raw, ends)
-    chained = h[: max(0, len(h) - words + 1)].copy()
+    many = max(0, len(h) - words + 1)
+    chained = h[:many].copy()
     for k in range(1, words):
-        chained = chained * _CHAIN + h[k : k + len(chained)]
+        chained = chained * _CHAIN + h[k : k + many]
     chained = mix(chained + np.uint64(words))
-    out, at = [], 0
+    if cost is not None:
+        own = cost[(h >> np.uint64(64 - (len(cost) - 1).bit_length())).astype(np.int64)]
+        summed = sum(own[k : k + many] for k in range(words))
+    sets, costs, at = [], [], 0
     for n in counts.tolist():
+        first = np.zeros(1, np.int64)
         if n >= words:
-            out.append(np.unique(chained[at : at + n - words + 1]))
+            found, first = np.unique(chained[at : at + n - words + 1], return_index=True)
         elif n:
             one = h[at : at + 1]
             for k in range(1, n):
                 one = one * _CHAIN + h[at + k : at + k + 1]
-            out.append(mix(one + np.uint64(n)))
+            found = mix(one + np.uint64(n))
         else:
-            out.append(np.empty(0, np.uint64))
+            found, first = np.empty(0, np.uint64), first[:0]
+        sets.append(found)
+        if cost is not None:
+            costs.append(summed[at + first] if n >= words else np.zeros(len(found), np.int64))
         at += n
-    return out
+    return sets, costs
+
+
+def shingle_sets(raw: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer words than a shingle make one of them all."""
+    return _shingles(raw, ends, words, None)[0]
+
+
+def shingle_sets_with_cost(raw: np.ndarray, ends: np.ndarray, words: int, cost: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sets, and for each shingle the sum of its words' costs. cost: whole numbers, by the first bits of a word's hash."""
+    return _shingles(raw, ends, words, cost)
 
 
 def set_id(shingles: np.ndarray) -> int:
