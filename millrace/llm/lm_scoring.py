@@ -3,9 +3,14 @@
 A small bidirectional network sees WINDOW words on both sides of a masked word and predicts it; the sum of the log
 conditional probabilities of all words of a text scores the document.
 
-Words are hashed into CLASSES * MEMBERS ids. The hidden layer is the tanh of the neighbours' vectors, each scaled by its
-place; the id's class is predicted from it, then its member from the hidden layer and the class, so the probabilities of all
-ids add up to 1. The network is trained in numpy on all documents: in each round every task starts from the last round's
+The network knows CLASSES * MEMBERS ids: the OWN most frequent words have one each, all others share the rest by hash. The
+hidden layer is the tanh of the neighbours' vectors, each scaled by its place; the id's class is predicted from it, then its
+member from the hidden layer and the class, so the probabilities of all ids add up to 1. A word's probability is its id's
+times its part of the occurrences of that id's words in the corpus, by a count of every word of the corpus; one occurrence
+more stands for all words never seen, dealt evenly to the 64-bit hashes, so the probabilities of all words add up to 1 too.
+Counts of up to FREQUENT words go to every worker; the rest stay a distributed table, which rare words are joined with.
+
+The network is trained in numpy on all documents: in each round every task starts from the last round's
 network, passes once over its own documents with some of their words masked, and the networks are averaged by words. Parameters are averaged as integers,
 so the result does not depend on the order of tasks.
 
@@ -17,6 +22,7 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import pieces, utf8
-from millrace.llm.shingles import word_hashes
+from millrace.llm.shingles import mix, word_hashes
+from millrace.session import materialize
 
 WINDOW = 2
 CLASSES = MEMBERS = 64
@@ -37,9 +44,32 @@ BATCH = 8192
 PIECE = 1 << 20
 #: Tasks that train at once; more input makes each longer, not the average larger.
 TRAINERS = 4096
+OWN = 2048
+#: Words with counts that every worker holds, 16 bytes each.
+FREQUENT = 1 << 18
+#: Words that a task counts at once.
+COUNTED = 1 << 22
+#: Logarithms of counts are summed as integers, so the order of rows doesn't matter.
+_FINE = 1 << 24
 _SCALE = 1 << 16
 _IDS = CLASSES * MEMBERS
 _PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
+_NO_WORDS = np.empty(0, np.uint64)
+
+
+@dataclass
+class Vocabulary:
+    """Counts of all words of a corpus, by their hashes."""
+
+    #: word and n of the words that are not in `frequent`
+    rest: DataFrame
+    #: sorted hashes
+    frequent: np.ndarray
+    n: np.ndarray
+    #: sorted hashes of the words with an id of their own, a part of `frequent`
+    own: np.ndarray
+    #: by id, the occurrences of the words that share it; 0 where it is a word's own
+    totals: np.ndarray
 
 
 class Network:
@@ -106,24 +136,85 @@ def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(place, rows.ravel(), n * DIM).reshape(n, DIM)
 
 
-def masked(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _found(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash in the sorted words, and whether it is there."""
+    if not len(words):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return at, words[at] == h
+
+
+def _shared(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return len(own) + ((h >> np.uint64(33)) % np.uint64(_IDS - len(own))).astype(np.int64)
+
+
+def _ids(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    at, known = _found(h, own)
+    return np.where(known, at, _shared(h, own))
+
+
+def masked(raw: np.ndarray, ends: np.ndarray, own: np.ndarray = _NO_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all words, their neighbours' ids (padding beyond a text's ends), and the number of words of each text."""
     h, counts = word_hashes(raw, ends)
-    ids = (h % np.uint64(_IDS)).astype(np.int64)
+    ids = _ids(h, own)
+    return ids, _near(ids, counts), counts
+
+
+def _near(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = len(counts)
     padded = np.full(len(ids) + WINDOW * (n + 1), _IDS, np.int64)
     at = np.arange(len(ids)) + WINDOW * (1 + np.repeat(np.arange(n), counts))
     padded[at] = ids
-    near = padded[at[:, None] + np.array(_PLACES)]
-    return ids, near, counts
+    return padded[at[:, None] + np.array(_PLACES)]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed() -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
+    held: list[np.ndarray] = []
+    for batch in pieces(batches, limit=PIECE):
+        held.append(word_hashes(*utf8(batch.column("text")))[0])
+        if sum(map(len, held)) >= COUNTED:
+            yield summed()
+            held = []
+    if held:
+        yield summed()
 
-def _train(flat, turn: int):
+
+def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, own: int = OWN) -> Vocabulary:
+    """Counts every word. The driver gets at most `frequent` of them, and sums of fixed number."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    counts = materialize(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    levels = counts.groupBy(F.floor(8 * F.log2("n"))).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    least, left = None, frequent
+    for row in sorted(levels, key=lambda r: -r["least"]):
+        left -= row["words"]
+        if left < 0:
+            break
+        least = row["least"]
+    often = F.lit(False) if least is None else F.col("n") >= least
+    table = counts.where(often).toArrow()
+    words, n = (table.column(k).to_numpy() for k in ("word", "n"))
+    words = words.view(np.uint64)
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    top = np.sort(words[np.lexsort((words, -n))[:own]])
+    shared = F.lit(len(top)) + F.shiftrightunsigned("word", 33) % (_IDS - len(top))
+    totals = np.zeros(_IDS, np.int64)
+    for row in counts.groupBy(shared.alias("id")).agg(F.sum("n").alias("n")).collect():
+        totals[row["id"]] = row["n"]
+    np.subtract.at(totals, _shared(top, top), n[_found(top, words)[0]])
+    return Vocabulary(counts.where(~often), words, n, top, totals)
+
+
+def _train(flat, turn: int, own):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words = Network(flat.value), 0
         power = np.full(len(net.flat), 1e-6, np.float32)
         for batch in pieces(batches, limit=PIECE):
-            ids, near, _ = masked(*utf8(batch.column("text")))
+            ids, near, _ = masked(*utf8(batch.column("text")), own.value)
             ids, near = ids[turn % MASK_EVERY :: MASK_EVERY], near[turn % MASK_EVERY :: MASK_EVERY]
             for i in range(0, len(ids), BATCH):
                 g = net.gradient(near[i : i + BATCH], ids[i : i + BATCH])
@@ -138,14 +229,15 @@ def _train(flat, turn: int):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters, of a fixed number, after the given rounds over all documents."""
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, own: np.ndarray = _NO_WORDS) -> np.ndarray:
+    """Parameters, of a fixed number, after the given rounds over all documents. own: words with an id of their own."""
     sc, flat = docs.sparkSession.sparkContext, Network().flat
+    own = sc.broadcast(own)
     texts = docs.select(F.col(text_col).alias("text"))
     if texts.rdd.getNumPartitions() > TRAINERS:
         texts = texts.coalesce(TRAINERS)
     for turn in range(rounds):
-        rows = texts.mapInArrow(_train(sc.broadcast(flat), turn), "dim int, value long").groupBy("dim").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
+        rows = texts.mapInArrow(_train(sc.broadcast(flat), turn, own), "dim int, value long").groupBy("dim").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
         if not rows:
             return flat
         total = np.empty(len(rows))
@@ -155,25 +247,61 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> np.n
     return flat
 
 
-def score(docs: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, log_prob (sum over all words) and mean_log_prob of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(flat)
+def _logs(net: Network, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.float32), *(net.forward(near[i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    upto, ends = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)]), np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
+
+
+def score(docs: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: Vocabulary | None = None) -> DataFrame:
+    """id, n_words, log_prob (sum over all words) and mean_log_prob of every document. Without words, ids are scored alone."""
+    sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
+    shared = sc.broadcast(flat)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("node"))
+
+    def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value)
         for batch in pieces(batches, limit=PIECE):
             ids, near, counts = masked(*utf8(batch.column("text")))
-            logs = np.concatenate([np.zeros(0, np.float32), *(net.forward(near[i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH))])
-            upto = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
-            ends = np.cumsum(counts)
-            total = upto[ends] - upto[ends - counts]
+            total = _sums(_logs(net, ids, near), counts)
             mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts.astype(np.int64)), pa.array(total), mean], ["id", "n_words", "log_prob", "mean_log_prob"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double, mean_log_prob double")
+    if words is None:
+        return rows.mapInArrow(by_id, f"id {kind}, n_words long, log_prob double, mean_log_prob double")
+
+    # A row per document with all but the logarithms of rare words' counts, and a row for each of those words.
+    names = ["node", "id", "n_words", "log_prob", "word"]
+    held = sc.broadcast((words.frequent, np.log(words.n), words.own, np.where(np.arange(_IDS) < len(words.own), 0, np.log(words.totals + 1.0))))
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(shared.value)
+        frequent, log_n, own, log_total = held.value
+        for batch in pieces(batches, limit=PIECE):
+            h, counts = word_hashes(*utf8(batch.column("text")))
+            ids = _ids(h, own)
+            at, known = _found(h, frequent)
+            logs = _logs(net, ids, _near(ids, counts)) - log_total[ids]
+            add = known & (ids >= len(own))
+            logs[add] += log_n[at[add]]
+            node = batch.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("id"), pa.array(counts.astype(np.int64)), pa.array(_sums(logs, counts)), pa.array(mix(node.astype(np.uint64)).view(np.int64))], names)
+            rare = pa.array(h[~known].view(np.int64))
+            none = [pa.nulls(len(rare), t) for t in (batch.column("id").type, pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, counts)[~known]), *none, rare], names)
+
+    parts = rows.mapInArrow(by_word, f"node long, id {kind}, n_words long, log_prob double, word long").join(words.rest, "word", "left")
+    unseen = float((_IDS - len(words.own)) / 2**64)
+    log_n = F.when(F.col("n_words").isNull(), F.round(F.log(F.coalesce(F.col("n").cast("double"), F.lit(unseen))) * _FINE).cast("long"))
+    whole = parts.groupBy("node").agg(F.first("id", ignorenulls=True).alias("id"), F.max("n_words").alias("n_words"), F.max("log_prob").alias("log_prob"), F.coalesce(F.sum(log_n), F.lit(0)).alias("rare"))
+    whole = whole.select("id", "n_words", (F.col("log_prob") + F.col("rare") / _FINE).alias("log_prob"))
+    return whole.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs)).withColumnRenamed("id", "doc_id")
+    words = vocabulary(docs)
+    return score(docs, train(docs, own=words.own), words=words).withColumnRenamed("id", "doc_id")

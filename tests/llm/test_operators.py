@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm import decontamination, jaccard_join, langid, lm_scoring, mixing, quality, queries, sharding, token_output, toxicity, url_filters, wavelet
 from millrace.llm.arrow import utf8
 from millrace.llm.graph import components
-from millrace.llm.shingles import shingle_sets
+from millrace.llm.shingles import shingle_sets, word_hashes
 from tests.compare import duck, rows
 from tests.llm.conftest import CASES, SF
 
@@ -114,6 +114,37 @@ def test_training_tells_order_from_disorder(spark):
     assert mean(mixed) < 0
 
 
+@pytest.mark.parametrize("frequent", [0, 300, lm_scoring.FREQUENT])
+def test_words_are_scored_not_ids(spark, cases, frequent):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(cases.select("doc_id", "text"))
+    words = lm_scoring.vocabulary(docs, frequent=frequent, own=200)
+    flat = lm_scoring.train(docs, own=words.own)
+    net, own, known = lm_scoring.Network(flat), words.own.tolist(), {}
+    split = lambda t: [known.setdefault(w, int(word_hashes(*utf8(pa.array([w])))[0][0])) for w in WORDS.findall(lowered(t))]
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    n = Counter(h for _, t in texts for h in split(t))
+    assert len(own) == min(200, len(words.frequent)) and len(words.frequent) <= frequent
+    assert dict(zip(words.frequent.tolist(), words.n.tolist(), strict=True)) | {r["word"] % 2**64: r["n"] for r in words.rest.collect()} == n
+    place = lambda h: own.index(h) if h in own else len(own) + (h >> 33) % (lm_scoring._IDS - len(own))
+    totals, expected = Counter(), []
+    for h, k in n.items():
+        totals[place(h)] += k
+    probe = [*texts[:12], *((i, t) for i, t in texts[-len(CASES) :] if len(t or "") < 1000), (-1, "the cat zqxj"), (-2, "the cat mat")]
+    for doc_id, text in probe:
+        ids, near, counts = lm_scoring.masked(*utf8(pa.array([text], pa.string())), words.own)
+        assert ids.tolist() == [place(h) for h in split(text)]
+        total = net.forward(near, ids)[0].sum() if len(ids) else 0
+        for h in split(text):
+            if h not in own:
+                total += np.log(n[h] or (lm_scoring._IDS - len(own)) / 2**64) - np.log(totals[place(h)] + 1)
+        expected.append((str(doc_id), int(counts[0]), float(total)))
+    got = [(str(r["id"]), r["n_words"], r["log_prob"]) for r in lm_scoring.score(spark.createDataFrame(probe, "doc_id long, text string"), flat, words=words).collect()]
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(expected)]
+    assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(expected)], rel=1e-4, abs=1e-4)
+    unseen, seen = (next(x[2] for x in got if x[0] == k) for k in ("-1", "-2"))
+    assert unseen < seen - 20
+
+
 # 3 decontamination
 
 
