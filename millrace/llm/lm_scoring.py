@@ -11,8 +11,9 @@ more stands for all words never seen, dealt evenly to the 64-bit hashes, so the
 Counts of up to FREQUENT words go to every worker; the rest stay a distributed table, which rare words are joined with.
 
 The network is trained in numpy on all documents: in each round every task starts from the last round's
-network, passes once over its own documents with some of their words masked, and the networks are averaged by words. Parameters are averaged as integers,
-so the result does not depend on the order of tasks.
+network, passes once over its own documents with some of their words masked, and the networks are averaged by words; after the last
+round every word of every document was masked once. Parameters are averaged as integers, so the result does not depend on
+the order of tasks.
 
 Edge cases: null, empty and blank texts have no words: log_prob 0, mean null; a word without neighbours is predicted from
 padding alone; repeated rows are trained on and scored as often as they come; an empty table gives no rows; other columns
@@ -21,7 +22,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +37,12 @@ from millrace.session import materialize
 WINDOW = 2
 CLASSES = MEMBERS = 64
 DIM = 16
+#: Every round masks an equal part of each document's words, so that all together mask each word once; scoring masks every word in turn.
 ROUNDS = 2
-#: A round masks one word in so many of every document, each round others; scoring masks every word in turn.
-MASK_EVERY = 4
 RATE = 0.08
 BATCH = 8192
+#: Words that go through the network at once; their arrays stay in the CPU's cache.
+CHUNK = 1024
 PIECE = 1 << 20
 #: Tasks that train at once; more input makes each longer, not the average larger.
 TRAINERS = 4096
@@ -101,39 +103,47 @@ class Network:
         seen = self.vectors[near]
         hidden = np.tanh(np.einsum("nkd,kd->nd", seen, self.places) + self.hidden_bias)
         cls, member = ids // MEMBERS, ids % MEMBERS
-        log_c = _log_softmax(hidden @ self.class_weights + self.class_bias)
+        log_c = _log_softmax(hidden, self.class_weights, self.class_bias)
         inner = hidden + self.class_vectors[cls]
-        log_m = _log_softmax(inner @ self.member_weights + self.member_bias)
+        log_m = _log_softmax(inner, self.member_weights, self.member_bias)
         rows = np.arange(len(ids))
         return log_c[rows, cls] + log_m[rows, member], seen, hidden, inner, log_c, log_m, cls, member
 
     def gradient(self, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Gradient of the mean negative log probability."""
-        _, seen, hidden, inner, log_c, log_m, cls, member = self.forward(near, ids)
-        n, rows, g = len(ids), np.arange(len(ids)), Network(np.zeros_like(self.flat))
-        dc, dm = np.exp(log_c), np.exp(log_m)
-        dc[rows, cls] -= 1
-        dm[rows, member] -= 1
-        dc, dm = dc / n, dm / n
-        g.class_weights[:], g.class_bias[:] = hidden.T @ dc, dc.sum(0)
-        g.member_weights[:], g.member_bias[:] = inner.T @ dm, dm.sum(0)
-        d_inner = dm @ self.member_weights.T
-        g.class_vectors[:] = _summed(cls, d_inner, CLASSES)
-        d = (dc @ self.class_weights.T + d_inner) * (1 - hidden * hidden)
+        n, g = len(ids), Network(np.zeros_like(self.flat))
+        d, d_inner = np.empty((n, DIM), np.float32), np.empty((n, DIM), np.float32)
+        for i in range(0, n, CHUNK):
+            part = slice(i, i + CHUNK)
+            _, seen, hidden, inner, log_c, log_m, cls, member = self.forward(near[part], ids[part])
+            rows, dc, dm = np.arange(len(cls)), np.exp(log_c), np.exp(log_m)
+            dc[rows, cls] -= 1
+            dm[rows, member] -= 1
+            dc, dm = dc / n, dm / n
+            g.class_weights += hidden.T @ dc
+            g.class_bias += dc.sum(0)
+            g.member_weights += inner.T @ dm
+            g.member_bias += dm.sum(0)
+            d_inner[part] = dm @ self.member_weights.T
+            d[part] = (dc @ self.class_weights.T + d_inner[part]) * (1 - hidden * hidden)
+            g.places += np.einsum("nkd,nd->kd", seen, d[part])
+        g.class_vectors[:] = _summed(ids // MEMBERS, d_inner.T, CLASSES)
         g.hidden_bias[:] = d.sum(0)
-        g.places[:] = np.einsum("nkd,nd->kd", seen, d)
-        g.vectors[:] = _summed(near.ravel(), (d[:, None, :] * self.places).reshape(-1, DIM), _IDS + 1)
+        g.vectors[:] = _summed(near.ravel(), ((c[:, None] * p).ravel() for c, p in zip(d.T, self.places.T, strict=True)), _IDS + 1)
         return g.flat
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Computed as columns, along which numpy takes maxima and sums much faster."""
+    x = weights.T @ rows.T
+    x += bias[:, None]
+    x -= x.max(0)
+    x -= np.log(np.exp(x).sum(0))
+    return x.T
 
 
-def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    place = (at[:, None] * DIM + np.arange(DIM)).ravel()
-    return np.bincount(place, rows.ravel(), n * DIM).reshape(n, DIM)
+def _summed(at: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, column, n) for column in columns], 1)
 
 
 def _found(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +219,15 @@ def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT
     return Vocabulary(counts.where(~often), words, n, top, totals)
 
 
-def _train(flat, turn: int, own):
+def _train(flat, turn: int, rounds: int, own):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words = Network(flat.value), 0
         power = np.full(len(net.flat), 1e-6, np.float32)
         for batch in pieces(batches, limit=PIECE):
-            ids, near, _ = masked(*utf8(batch.column("text")), own.value)
-            ids, near = ids[turn % MASK_EVERY :: MASK_EVERY], near[turn % MASK_EVERY :: MASK_EVERY]
+            ids, near, counts = masked(*utf8(batch.column("text")), own.value)
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+            chosen = place % rounds == turn
+            ids, near = ids[chosen], near[chosen]
             for i in range(0, len(ids), BATCH):
                 g = net.gradient(near[i : i + BATCH], ids[i : i + BATCH])
                 power += g * g
@@ -237,7 +249,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, own: np
     if texts.rdd.getNumPartitions() > TRAINERS:
         texts = texts.coalesce(TRAINERS)
     for turn in range(rounds):
-        rows = texts.mapInArrow(_train(sc.broadcast(flat), turn, own), "dim int, value long").groupBy("dim").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
+        rows = texts.mapInArrow(_train(sc.broadcast(flat), turn, rounds, own), "dim int, value long").groupBy("dim").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
         if not rows:
             return flat
         total = np.empty(len(rows))
@@ -248,7 +260,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, own: np
 
 
 def _logs(net: Network, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.float32), *(net.forward(near[i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH))])
+    return np.concatenate([np.zeros(0, np.float32), *(net.forward(near[i : i + CHUNK], ids[i : i + CHUNK])[0] for i in range(0, len(ids), CHUNK))])
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

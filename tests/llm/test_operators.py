@@ -145,6 +145,34 @@ def test_words_are_scored_not_ids(spark, cases, frequent):
     assert unseen < seen - 20
 
 
+@pytest.mark.parametrize("rounds", [1, lm_scoring.ROUNDS, 3])
+def test_rounds_mask_every_word_once(monkeypatch, rounds):
+    texts, seen = [t for _, t, _, _ in CASES], Counter()
+
+    def gradient(net, near, ids):
+        seen.update(zip(ids.tolist(), map(tuple, near.tolist()), strict=True))
+        return np.zeros_like(net.flat)
+
+    monkeypatch.setattr(lm_scoring.Network, "gradient", gradient)
+    held = lambda x: type("Held", (), {"value": x})
+    for turn in range(rounds):
+        # Other batches each round: what is masked must not hang on them.
+        batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + turn + 1], pa.string())}) for i in range(0, len(texts), turn + 1)]
+        list(lm_scoring._train(held(lm_scoring.Network().flat), turn, rounds, held(np.empty(0, np.uint64)))(iter(batches)))
+    ids, near, _ = lm_scoring.masked(*utf8(pa.array(texts, pa.string())))
+    assert seen == Counter(zip(ids.tolist(), map(tuple, near.tolist()), strict=True))
+
+
+def test_ordered_text_scores_above_shuffled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = lm_scoring.vocabulary(docs)
+    flat = lm_scoring.train(docs, own=words.own)
+    pairs = F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w")))
+    mixed = docs.withColumn("text", F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "))
+    mean = lambda d: lm_scoring.score(d, flat, words=words).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
+    assert mean(docs) > mean(mixed) + 0.03
+
+
 # 3 decontamination
 
 
