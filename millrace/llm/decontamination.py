@@ -131,18 +131,24 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.array_join(kept, "")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without contaminated documents, or, with remove="spans", with every hit span cut from its text."""
-    if remove not in ("documents", "spans"):
-        raise ValueError("remove is 'documents' or 'spans'")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size_col: str | None = None) -> DataFrame:
+    """docs without contaminated documents; with remove="spans", with every hit span cut from its text; with "both", without
+    contaminated documents, and the hit spans cut from all others. size_col: gets the characters of a text that was cut."""
+    if remove not in ("documents", "spans", "both"):
+        raise ValueError("remove is 'documents', 'spans' or 'both'")
     found = report(docs, benchmark, id_col, text_col, item_col, item_text).where("n_hit > 0")
     found = found.dropDuplicates(["id", "version"]).select(F.col("id").alias("__found_id"), F.col("version").alias("__found_v"), F.col("spans").alias("__found_spans"), F.col("contaminated").alias("__found_bad"))
     same = F.col(id_col).eqNullSafe(F.col("__found_id")) & (F.xxhash64(text_of(text_col)) == F.col("__found_v"))
     if remove == "documents":
         return docs.join(found.where("__found_bad"), same, "left_anti")
     joined = docs.join(found, same, "left")
-    cut = F.when(F.col("__found_spans").isNull(), F.col(text_col)).otherwise(without_spans(text_of(text_col), F.col("__found_spans")))
-    return joined.withColumn(text_col, cut).select(*docs.columns)
+    if remove == "both":
+        joined = joined.where(~F.coalesce("__found_bad", F.lit(False)))
+    hit = F.col("__found_spans").isNotNull()
+    joined = joined.withColumn(text_col, F.when(hit, without_spans(text_of(text_col), F.col("__found_spans"))).otherwise(F.col(text_col)))
+    if size_col:
+        joined = joined.withColumn(size_col, F.when(hit, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+    return joined.select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

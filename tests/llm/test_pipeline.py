@@ -34,6 +34,19 @@ def test_stages_against_brute_force(spark, tmp_path):
         kept, before = {r["doc_id"]: r for r in docs.collect()}, got
 
 
+def test_benchmark_leaks_leaves_no_window(spark, tmp_path):
+    item = [f"w{i}" for i in range(15)]
+    filler = [f"x{i}" for i in range(600)]
+    spark.createDataFrame([("b1", " ".join(item))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long, clean, short = " ".join([*filler[:300], *item, *filler[300:]]), " ".join(filler), " ".join([*item, *filler[:20]])
+    texts = [(1, long), (None, long), (2, clean), (3, short), (4, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "") or None) for i, t in texts], "doc_id long, text string, n_chars long")
+    got = pipeline.benchmark_leaks(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect())
+    assert kept == Counter([(1, clean, len(clean)), (None, clean, len(clean)), (2, clean, len(clean)), (4, None, None)])
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF)
     assert rows.count() > 0 and {"doc_id", "text", "shard"} <= set(rows.columns)
