@@ -1,7 +1,10 @@
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.llm import langid
 from tests.llm.conftest import SF
 from tests.llm.test_operators import WORDS, brute_components, brute_hits
 
@@ -34,6 +37,19 @@ def test_stages_against_brute_force(spark, tmp_path):
         kept, before = {r["doc_id"]: r for r in docs.collect()}, got
 
 
+def test_language_drops_strange_scripts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng, prototypes = np.random.default_rng(5), langid.learn(docs.where(~langid.held_out()))
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 10)))
+    strange = [(i, " ".join(word(("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")[i % 2]) for _ in range(40))) for i in range(120)]
+    assert langid.accepted(spark.createDataFrame(strange, "doc_id long, text string"), prototypes).count() <= 6
+    real = docs.where(langid.held_out() & F.col("text").rlike("[A-Za-z]") & (F.char_length("text") >= langid.SHORT)).select("doc_id", "text")
+    assert langid.accepted(real, prototypes).count() == real.count() > 0
+    # Parts of real texts, too.
+    cut = real.where(F.char_length("text") >= 200).withColumn("text", F.substring("text", 100, 60))
+    assert langid.accepted(cut, prototypes).count() == cut.count() > 0
+
+
 def test_benchmark_leaks_leaves_no_window(spark, tmp_path):
     item = [f"w{i}" for i in range(15)]
     filler = [f"x{i}" for i in range(600)]
