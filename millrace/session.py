@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +50,42 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders of tables that this process has materialized and not yet discarded.
+_TABLES: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _forget_all() -> None:
+    for folder, spark in list(_TABLES.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone; then the folder's owner clears it
+            _delete(spark, folder)
+
+
+atexit.register(_forget_all)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own in shared storage, deleted when the process ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid4().hex}"
+    _TABLES[folder] = spark
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in shared storage: survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Compute once and cut the lineage, as a table in shared storage: survives the loss of any executor."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._millrace_folder = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    folder = df._millrace_folder
+    _delete(df.sparkSession, folder)
+    _TABLES.pop(folder, None)
