@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space: space and \t \n \v \f \r.
@@ -13,6 +13,19 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, base: str, prefix: str = "__") -> str:
+    """A name that no column of df has."""
+    taken, name = {c.lower() for c in df.columns}, f"{prefix}{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
