@@ -6,9 +6,10 @@ order in which they reach their caps. A source's target is then taken as whole r
 seeded draw: documents are ordered by a hash of seed, id and text, and those up to the remaining words are repeated once
 more; the one document on the border gives the fraction that is missing, so that the words taken are the target, rounded.
 
-Edge cases: null or empty texts have size 0 and are never drawn; a null source is a source of its own, last in order; a
-source without words has target 0; rows that are equal in id and text share one place in the order, so each takes its
-part whichever comes first; an empty table gives no rows.
+Edge cases: null or empty texts have size 0, are never drawn in part and come with the whole repetitions; a text of any length
+is one row; a null source is a source of its own, last in order; a source without words has target 0; rows that are equal in
+id and text share one place in the order; those of one source that are on its border are numbered, and each takes its part,
+whichever comes first; an empty table gives no rows; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.native import NOT_SPACE, count_space_words, text_of
+from millrace.llm.native import NOT_SPACE, count_space_words, free_name, quoted, text_of
 from millrace.session import materialize
 
 SEED = "mix-1"
@@ -24,6 +25,8 @@ SEED = "mix-1"
 CYCLE = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
+#: Sources, at some 100 bytes each, that are broadcast.
+MANY_SOURCES = 50_000
 
 
 def order_key(id_col: Column, text_col: Column, seed: str = SEED) -> Column:
@@ -33,10 +36,10 @@ def order_key(id_col: Column, text_col: Column, seed: str = SEED) -> Column:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("src"),
-        count_space_words(text_col).alias("size"),
-        order_key(F.col(id_col), text_of(text_col), seed).alias("key"),
+        F.col(quoted(id_col)).alias("id"),
+        F.col(quoted(source_col)).alias("src"),
+        count_space_words(F.col(quoted(text_col))).alias("size"),
+        order_key(F.col(quoted(id_col)), text_of(F.col(quoted(text_col))), seed).alias("key"),
     )
     return rows.withColumn("bin", F.substring("key", 1, 3))
 
@@ -68,32 +71,65 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
     return rows.select("src", "source_size", "weight", target.alias("target"))
 
 
-def draw(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds source_size, target, repeats (whole) and extra (words of one more, partial repetition) to measured rows."""
-    bins = rows.groupBy("src", "bin").agg(F.sum("size").alias("bin_size"))
-    before = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a source
-    bins = bins.withColumn("ahead", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
-    inside = Window.partitionBy("src", "bin").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = F.col("b.src").eqNullSafe(F.col("r.src")) & (F.col("b.bin") == F.col("r.bin"))
-    rows = rows.alias("r").join(bins.alias("b"), same).select("r.*", (F.col("b.ahead") + F.col("r.ahead_inside")).alias("start"))
-    rows = rows.alias("r").join(targets.alias("t"), F.col("t.src").eqNullSafe(F.col("r.src"))).select("r.*", "t.source_size", "t.target")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("repeats", whole)
-    rest = F.round("target").cast("long") - F.col("repeats") * F.col("source_size")
-    return rows.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("start"))))
+def borders(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source: source_size, target, repeats (whole), and where the draw of one more, partial repetition ends.
 
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(id, src, size, source_size, target, repeats, extra) for every document. weights: (src, weight), else CYCLE."""
-    rows = materialize(measured(docs, id_col, text_col, source_col, seed))
+    Documents whose key is below border are drawn whole; those that have it share the words that are left. Only the bin that
+    holds the border is looked at key by key.
+    """
+    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    asked = targets.select("src", "source_size", "target", whole.alias("repeats"), (F.round("target").cast("long") - whole * F.col("source_size")).alias("rest"))
+    before = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a source
+    bins = rows.groupBy("src", "bin").agg(F.sum("size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    here = (F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("words"))
+    cut = materialize(_with(bins, asked).where(here).select("src", "bin", "ahead", "rest"))
+    same = F.col("r.src").eqNullSafe(F.col("c.src")) & (F.col("r.bin") == F.col("c.bin"))
+    keys = rows.alias("r").join(cut.alias("c"), same).groupBy("r.src", "r.key", "c.ahead", "c.rest").agg(F.sum("size").alias("words"))
+    inside = Window.partitionBy("src").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("words").over(inside), F.lit(0))).where(here)
+    found = keys.select("src", F.col("key").alias("border"), (F.col("rest") - F.col("ahead")).alias("left"))
+    both = F.col("a.src").eqNullSafe(F.col("f.src"))
+    return materialize(asked.drop("rest").alias("a").join(found.alias("f"), both, "left").select("a.*", "f.border", "f.left"))
+
+
+def _with(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with the columns of their source. Up to MANY_SOURCES sources are broadcast; more are joined by a shuffle, which
+    Spark can split where one source has most rows."""
+    other, src = sources, free_name(rows, "src")
+    other = other.withColumnRenamed("src", src)
+    if other.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
+        other = F.broadcast(other)
+    return rows.join(other, F.col("src").eqNullSafe(F.col(src))).drop(src)
+
+
+def _extra(border: str, size: str, left: str, key: str, nth: Column | None) -> Column:
+    """Words of the partial repetition that a document gives; nth: its number from 0 among those on the border."""
+    if nth is None:
+        return F.when(F.col(key) < F.col(border), F.col(size)).otherwise(F.lit(0)).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col(size), F.col(left) - nth * F.col(size)))
+
+
+def sources_of(rows: DataFrame, weights: DataFrame | None = None, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """What borders() gives, from measured rows."""
     sources = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = cycle_weights(sources)
     else:
         w = weights.select(F.col("src").alias("wsrc"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(w, F.col("src").eqNullSafe(F.col("wsrc"))).drop("wsrc")
-    return draw(rows, water_fill(sources, share, max_epochs))
+    return borders(rows, materialize(water_fill(sources, share, max_epochs)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """(id, src, size, source_size, target, repeats, extra) for every document of a weighted source. weights: (src, weight), else CYCLE."""
+    rows = materialize(measured(docs, id_col, text_col, source_col, seed))
+    joined = _with(rows, sources_of(rows, weights, share, max_epochs))
+    on_border = F.coalesce(F.col("key") == F.col("border"), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("src", "key").orderBy("id")) - 1
+    names = ["id", "src", "size", "source_size", "target", "repeats"]
+    rest = joined.where(~on_border).select(*names, _extra("border", "size", "left", "key", None).alias("extra"))
+    ties = joined.where(on_border).withColumn("nth", nth).select(*names, _extra("border", "size", "left", "key", F.col("nth")).alias("extra"))
+    return rest.unionByName(ties)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -103,23 +139,37 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
-    """docs as the mix takes them: a row for each whole repetition, and one cut after some words for a partial one."""
-    drawn = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0 OR extra > 0")
-    full = F.col("repeats") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)
-    part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.col("extra"))
-    nth = lambda order: F.row_number().over(Window.partitionBy("__key").orderBy(order))
-    drawn = drawn.select(F.col("key").alias("__key"), full.alias("__full"), part.alias("__part"), F.col("start").alias("__start"))
-    drawn = drawn.withColumn("__nth", nth("__start"))
-    seed = options.get("seed", SEED)
-    keyed = docs.withColumn("__key", order_key(F.col(id_col), text_of(text_col), seed)).withColumn("__nth", nth(F.lit(0)))
-    joined = keyed.join(drawn, ["__key", "__nth"])
-    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__full").cast("int")), F.filter(F.array("__part"), lambda p: p.isNotNull()))
-    rows = joined.withColumn("__take", F.explode(takes))
-    cut = F.col("__take") >= 0
-    rows = rows.withColumn(text_col, F.when(cut, first_words(text_of(text_col), F.col("__take"))).otherwise(F.col(text_col)))
-    if length_col in docs.columns:
-        rows = rows.withColumn(length_col, F.when(cut, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs as the mix takes them: a row for each whole repetition, and one cut after some words for a partial one.
+
+    Texts are not moved, but for those of the rows on a source's border, which are numbered by a hash of all their columns.
+    """
+    seed = options.pop("seed", SEED)
+    chosen = sources_of(materialize(measured(docs, id_col, text_col, source_col, seed)), **options)
+    own = [F.col(quoted(c)) for c in docs.columns]
+    record = docs.select(F.struct(*own).alias("doc"), F.col(quoted(source_col)).alias("src"), order_key(F.col(quoted(id_col)), text_of(F.col(quoted(text_col))), seed).alias("key"), count_space_words(F.col(quoted(text_col))).alias("size"))
+    joined = _with(record, chosen)
+    on_border = F.coalesce(F.col("key") == F.col("border"), F.lit(False))
+    comparable = [F.col("doc")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    nth = F.row_number().over(Window.partitionBy("src", "key").orderBy(F.xxhash64(*comparable))) - 1
+    rest = joined.where(~on_border).withColumn("extra", _extra("border", "size", "left", "key", None))
+    ties = joined.where(on_border).withColumn("nth", nth).withColumn("extra", _extra("border", "size", "left", "key", F.col("nth"))).drop("nth")
+    rows = rest.unionByName(ties)
+    full = (F.col("repeats") + F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
+    part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.array("extra")).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("doc", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), full), part)).alias("take"))
+    cut, text = F.col("take") >= 0, F.col("doc")[text_col]
+    shorter = F.when(cut, first_words(text_of(text), F.col("take"))).otherwise(text)
+    rows = rows.select("doc", "take", shorter.alias("text"))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("text").alias(name)
+        value = F.col("doc")[name]
+        if name == length_col:
+            value = F.when(F.col("take") >= 0, F.char_length("text").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    return rows.select(*map(column, docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
