@@ -4,8 +4,9 @@ A record's slot is a hash of its id over a number of slots that never changes. B
 from slot to shard is built (heaviest slot first, to the lightest shard) or, later, edited: `rebalance` moves as few
 slots as the new loads call for and gives the map a new version. Records are never rehashed.
 
-Edge cases: a null text has no bytes; a null id hashes by its text; equal rows get neighbouring places; an empty table
-gives no rows; columns of the input other than id and text are not touched, and may have any name.
+Edge cases: a null text has no bytes; a text of any length is one record; a null id hashes by its text, so all records
+without either are one slot, of which a record is the least part that can move; equal rows are counted and get neighbouring
+places; an empty table gives no rows; other columns may have any name, and are kept by `assigned`.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.native import text_of, utf8_bytes
+from millrace.llm.native import free_name, quoted, text_of, utf8_bytes
 from millrace.session import materialize
 
 #: Slots; thousands, so that one slot is a small part of any shard. Part of the data's layout: never change it.
@@ -30,12 +31,12 @@ def slot_of(id_col: Column, text_col: Column, slots: int = SLOTS) -> Column:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """One slim row per record: id, size, checksum, virtual slot."""
-    text = text_of(text_col)
+    text = text_of(F.col(quoted(text_col)))
     return docs.select(
-        F.col(id_col).alias("id"),
-        (utf8_bytes(text_col) + RECORD_OVERHEAD).alias("size"),
+        F.col(quoted(id_col)).alias("id"),
+        (utf8_bytes(F.col(quoted(text_col))) + RECORD_OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        slot_of(F.col(id_col), text, slots).alias("virtual_slot"),
+        slot_of(F.col(quoted(id_col)), text, slots).alias("virtual_slot"),
     )
 
 
@@ -106,17 +107,20 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard of every record, and its place in the shard: gapless from 0.
 
-    Places are offsets of pieces of slots (at most SLOTS * PIECES sums) plus a number inside the piece, so that no shard is
-    ever sorted as a whole.
+    Records equal in id, size and checksum are counted first. Places are offsets of pieces of slots (at most SLOTS * PIECES
+    sums) plus a number inside the piece, so that no shard is ever sorted as a whole, nor are copies.
     """
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64("id", "crc", F.lit("piece")), F.lit(PIECES)).cast("int"))
-    sums = rows.groupBy("virtual_slot", "piece").agg(F.count("*").alias("n"))
+    units = rows.groupBy("virtual_slot", "id", "crc", "size").agg(F.count("*").alias("copies"))
+    units = units.withColumn("piece", F.pmod(F.xxhash64("id", "crc", F.lit("piece")), F.lit(PIECES)).cast("int"))
+    sums = units.groupBy("virtual_slot", "piece").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = sums.join(F.broadcast(slot_map), "virtual_slot").withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # At most SLOTS * PIECES rows, whatever the input.
     pieces = F.broadcast(pieces.select("virtual_slot", "piece", "shard", "version", "offset"))
-    inside = F.row_number().over(Window.partitionBy("virtual_slot", "piece").orderBy("id", "crc", "size"))
-    return rows.withColumn("inside", inside).join(pieces, ["virtual_slot", "piece"]).withColumn("slot", F.col("offset") + F.col("inside") - 1)
+    ahead = Window.partitionBy("virtual_slot", "piece").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("inside", F.coalesce(F.sum("copies").over(ahead), F.lit(0))).join(pieces, ["virtual_slot", "piece"])
+    first = F.col("offset") + F.col("inside")
+    return units.select("id", "size", "crc", "virtual_slot", "shard", "version", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -127,13 +131,18 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
 
 def assigned(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """docs with virtual_slot, shard and map_version: texts are not moved, since the map (SLOTS rows at most) is broadcast."""
+    """docs with virtual_slot, shard and map_version: texts are not moved, since the map (SLOTS rows at most) is broadcast.
+
+    A column that docs has under one of these names is kept as input_<name>.
+    """
     slot_map = materialize(build_map(slot_bytes(measured(docs, id_col, text_col, slots)), shards))
-    slot_map = slot_map.select(F.col("virtual_slot").alias("__slot"), F.col("shard").alias("__shard"), F.col("version").alias("__version"))
-    keyed = docs.withColumn("__at", slot_of(F.col(id_col), text_of(text_col), slots))
-    joined = keyed.join(F.broadcast(slot_map), F.col("__at") == F.col("__slot"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("virtual_slot", "shard", "map_version")]
-    return joined.select(*own, F.col("__slot").alias("virtual_slot"), F.col("__shard").alias("shard"), F.col("__version").alias("map_version"))
+    at, of_map = free_name(docs, "at"), free_name(docs, "map")
+    found = F.struct("shard", "version").alias(of_map)
+    keyed = docs.withColumn(at, slot_of(F.col(quoted(id_col)), text_of(F.col(quoted(text_col))), slots))
+    joined = keyed.join(F.broadcast(slot_map.select(F.col("virtual_slot").alias(at), found)), at)
+    ours = {"virtual_slot": F.col(at), "shard": F.col(of_map)["shard"], "map_version": F.col(of_map)["version"]}
+    own = [F.col(quoted(c)).alias(free_name(docs, c, "input_")) if c.lower() in ours else F.col(quoted(c)) for c in docs.columns]
+    return joined.select(*own, *(value.alias(name) for name, value in ours.items()))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
