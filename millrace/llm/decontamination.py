@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.native import ascii_lower, let, text_of
+from millrace.llm.native import ascii_lower, let, quoted, text_of
 
 WINDOW = 13
 #: Windows in one broadcast; each is there once per possible offset, at some 300 bytes: about 60 MB.
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     joined = joined.withColumn(text_col, F.when(hit, without_spans(text_of(text_col), F.col("__found_spans"))).otherwise(F.col(text_col)))
     if size_col:
         joined = joined.withColumn(size_col, F.when(hit, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return joined.select(*docs.columns)
+    return joined.select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ is a skewed join that Spark can split. Captures equal in id, URL and time are co
 Edge cases: a null URL, or one without a host, or a null time, is allowed, since no entry can hold for it; entries with a
 null domain or date are ignored; of two entries of one domain, category and date the later action by name ("remove") holds;
 ports, user names and a final dot are not part of the host, and case does not matter; repeated captures are all returned;
-empty tables give no rows, or no entry; columns of the input other than those named are not read.
+a URL
+of any length is one row; a page without an id is fetched at no time; empty tables give no rows, or no entry; columns of the
+input other than those named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.native import quoted
+
 #: A host has at most 127 labels; none of them is left out.
 FOREVER = "9999-12-31"
+#: Seconds of 2024.
+_YEAR = 366 * 86400
 
 
 def host_of(url: Column) -> Column:
@@ -47,7 +53,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """id, url, fetched_at, host, blocked and the deciding entry (null if none) for every capture."""
     history = intervals(entries).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "category"))).alias("history"))
-    once = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).groupBy("id", "url", "fetched_at").agg(F.count("*").alias("copies"))
+    once = captures.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url"), F.col(quoted(time_col)).alias("fetched_at")).groupBy("id", "url", "fetched_at").agg(F.count("*").alias("copies"))
     once = once.withColumn("host", host_of(F.col("url")))
     asked = once.select("*", F.explode(domains_of(F.col("host"))).alias("domain"))
     day = F.col("fetched_at").cast("date")
@@ -73,7 +79,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
 def with_fetch_times(pages: DataFrame) -> DataFrame:
     """The tables have no fetch time: one in 2024 is derived from the page's id."""
-    second = F.pmod(F.col("page_id") * 7919, F.lit(366 * 86400))
+    second = F.pmod(F.pmod(F.col("page_id").cast("long"), F.lit(_YEAR)) * 7919, F.lit(_YEAR))
     return pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_704_067_200) + second).cast("timestamp_ntz"))
 
 
@@ -103,7 +109,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH captures AS (
   SELECT row_number() OVER () AS row_id, page_id, url,
-         TIMESTAMP '2024-01-01' + to_seconds(((page_id * 7919) % 31622400 + 31622400) % 31622400) AS fetched_at,
+         TIMESTAMP '2024-01-01' + to_seconds((((page_id % 31622400) + 31622400) % 31622400 * 7919) % 31622400) AS fetched_at,
          regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', '') AS host
   FROM pages
 ), hosts AS (
