@@ -9,6 +9,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import new_folder
+
+#: Rows that the driver holds at once when the ledger becomes a table.
+PART = 100_000
+
 _TABLES = """
 CREATE TABLE IF NOT EXISTS work_items (
   work_key TEXT PRIMARY KEY, state TEXT NOT NULL CHECK (state IN ('pending', 'submitted', 'completed', 'failed')),
@@ -119,8 +124,35 @@ class Ledger:
             raise LookupError(f"{len(found)} pending reviews start with `{prefix}`")
         return found[0]
 
-    def snapshot(self, spark: SparkSession) -> DataFrame:
-        """The whole ledger as a table."""
-        columns = "work_key string, state string, request_id string, output_json string, provider string, model string, input_tokens long, output_tokens long, validation string, error string"
+    def mark_all_submitted(self, keys: Iterable[str], request_id: str) -> None:
+        """All in one transaction: a job is either known for all of its items or for none."""
+        now = self._now()
+        with self.db:
+            self.db.executemany("UPDATE work_items SET state = 'submitted', request_id = ?, updated_at = ? WHERE work_key = ? AND state <> 'completed'", ((request_id, now, k) for k in keys))
+
+    def _table(self, spark: SparkSession, columns: str, rows: str) -> DataFrame:
+        """A query's rows as a table in shared storage, carried over in parts of PART rows."""
         names = [c.split()[0] for c in columns.split(", ")]
-        return spark.createDataFrame(self.db.execute(f"SELECT {', '.join(names)} FROM work_items").fetchall(), columns)
+        cursor = self.db.execute(f"SELECT {', '.join(names)} FROM {rows}")
+        part = cursor.fetchmany(PART)
+        if len(part) < PART:
+            return spark.createDataFrame(part, columns)
+        folder = new_folder(spark, "ledger")
+        while part:
+            spark.createDataFrame(part, columns).write.mode("append").parquet(folder)
+            part = cursor.fetchmany(PART)
+        return spark.read.schema(columns).parquet(folder)
+
+    def snapshot(self, spark: SparkSession, where: str = "true") -> DataFrame:
+        """The items as a table."""
+        columns = "work_key string, state string, request_id string, output_json string, provider string, model string, input_tokens long, output_tokens long, validation string, error string"
+        return self._table(spark, columns, f"work_items WHERE {where}")
+
+    def reviews_table(self, spark: SparkSession, status: str = "pending") -> DataFrame:
+        """The reviews of a status with their items' state, as a table."""
+        columns = "work_key string, transform_id string, reason string, raw_output string, status string, state string"
+        return self._table(spark, columns, f"review_queue JOIN work_items USING (work_key) WHERE status = '{status}'")
+
+    def withheld_keys(self, spark: SparkSession) -> DataFrame:
+        """Keys that wait for a decision or were rejected."""
+        return self._table(spark, "work_key string", "review_queue WHERE status IN ('pending', 'rejected')")

@@ -1,8 +1,9 @@
 """The semantic step: rows get typed answers of a model, each unit of work is paid for once.
 
-Keys are column expressions. The distinct keys that the ledger does not know are resolved on the driver, in order and
-outside Spark's retries; then answers are joined back, and everything downstream can be run again freely. What streams
-through the driver is the unresolved work alone, a partition at a time.
+Keys are column expressions. Rows are counted per key and joined with the ledger; the keys that it has no answer for are
+resolved on the driver, in the order in which they arrived and outside Spark's retries; then answers are joined back, and
+everything downstream can be run again freely. What streams through the driver is the unresolved work alone, a partition at a
+time, so a ledger of completed work costs joins, not calls.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ class Step:
 
 @dataclass
 class Counters:
+    """Of rows, but calls and tokens: a row whose answer another one has paid for is reused."""
+
     seen: int = 0
     calls: int = 0
     tokens: int = 0
@@ -89,20 +92,25 @@ class Resolver:
             raise InvalidOutput(f"step `{self.step.id}`, work {key[:12]}: {reason}")
         if self.step.on_invalid == "review":
             self.ledger.enqueue_review(key, self.step.id, reason, raw)
-            self.n.withheld += 1
-        else:
-            self.n.dropped += 1
 
-    def _over_budget(self, key: str, inputs: str) -> bool:
+    def _worst(self, inputs: str) -> int:
+        """Tokens that a request may take: its input's, estimated, and its output's cap."""
         text = self.step.instruction + inputs + C.canonical_json(self.step.schema)
-        estimate, most = -(-len(text.encode()) // 4), self.step.max_input_tokens
-        if most is not None and estimate > most:
-            self._invalid(key, f"its input has about {estimate} tokens, more than {most}", None)
-            return True
-        ceiling = self.step.max_run_tokens
-        if ceiling is not None and self.n.tokens + estimate + (self.step.max_output_tokens or 0) > ceiling:
-            raise CeilingReached(f"step `{self.step.id}` would pass {ceiling} tokens")
-        return False
+        return -(-len(text.encode()) // 4)
+
+    def _over_budget(self, key: str, inputs: str) -> bool:
+        estimate, most = self._worst(inputs), self.step.max_input_tokens
+        if most is None or estimate <= most:
+            return False
+        self._invalid(key, f"its input has about {estimate} tokens, more than {most}", None)
+        return True
+
+    def _reserve(self, requests: list[str]) -> None:
+        """Nothing is sent if what it may take goes over the run's ceiling."""
+        ceiling, cap = self.step.max_run_tokens, self.step.max_output_tokens or 0
+        needed = sum(self._worst(x) + cap for x in requests) if ceiling is not None else 0
+        if ceiling is not None and self.n.tokens + needed > ceiling:
+            raise CeilingReached(f"step `{self.step.id}`: {len(requests)} requests may take {needed} tokens beyond {self.n.tokens}, more than {ceiling}")
 
     def _take(self, key: str, r: Response, online: bool) -> None:
         self.n.tokens += r.input_tokens + r.output_tokens
@@ -124,21 +132,17 @@ class Resolver:
     def _open(self, work: Iterator[tuple[str, str, str]]) -> Iterator[tuple[str, str]]:
         """(key, inputs) of what has to be dispatched."""
         for key, inputs, spec in work:
-            self.n.seen += 1
             self.ledger.ensure_pending(key, spec)
-            state = self.ledger.state(key)
-            if state == "completed":
-                self.n.reused += 1
-            elif self.ledger.withheld([key]):
-                self.n.withheld += 1
-            elif not self._over_budget(key, inputs):
-                yield key, inputs
+            if self.ledger.state(key) == "completed" or self.ledger.withheld([key]) or self._over_budget(key, inputs):
+                continue
+            yield key, inputs
 
     def _request(self, inputs: str) -> Request:
         return Request(self.step.instruction, json.loads(inputs), self.step.schema, self.step.max_output_tokens)
 
     def online(self, work: Iterator[tuple[str, str, str]]) -> None:
         for key, inputs in self._open(work):
+            self._reserve([inputs])
             self.ledger.mark_submitted(key, "online")
             self.n.calls += 1
             try:
@@ -168,31 +172,56 @@ class Resolver:
             time.sleep(POLL_SECONDS)
         raise ProviderFault("timeout", f"batch job {job} is still running; a later run takes it up")
 
-    def batch(self, work: Iterator[tuple[str, str, str]]) -> None:
-        work = list(work)
-        mine, jobs = {k for k, _, _ in work}, {}
+    def reconcile(self) -> None:
+        """Takes up every job that an earlier run has left, whether this input has its keys or not. Nothing is sent."""
+        jobs: dict[str, set[str]] = {}
         for key, job in self.ledger.submitted():
-            if key in mine and job not in ("", "online"):
+            if job not in ("", "online"):
                 jobs.setdefault(job, set()).add(key)
-        for job, keys in jobs.items():
-            self._drain(job, keys)
-        ask = [(key, self._request(inputs)) for key, inputs in self._open(iter(work))]
-        if ask:
-            job = self.provider.submit_batch(ask)
-            self.n.calls += len(ask)
-            for key, _ in ask:
-                self.ledger.mark_submitted(key, job)
-            self._drain(job, {k for k, _ in ask})
+        for job in sorted(jobs):
+            self._drain(job, jobs[job])
+
+    def batch(self, work: Iterator[tuple[str, str, str]]) -> None:
+        """All open work as one job, held to the ceiling as a whole before it is sent."""
+        ask = list(self._open(work))
+        if not ask:
+            return
+        self._reserve([inputs for _, inputs in ask])
+        job = self.provider.submit_batch([(key, self._request(inputs)) for key, inputs in ask])
+        self.n.calls += len(ask)
+        self.ledger.mark_all_submitted([key for key, _ in ask], job)
+        self._drain(job, {key for key, _ in ask})
+
+
+def _unresolved(keys: DataFrame, ledger: Ledger) -> DataFrame:
+    """The keys that the ledger has no answer for and that no review holds back."""
+    spark = keys.sparkSession
+    done = ledger.snapshot(spark, "state = 'completed'").select(F.col("work_key").alias("__key"))
+    held = ledger.withheld_keys(spark).select(F.col("work_key").alias("__key"))
+    return keys.join(done.unionByName(held), "__key", "left_anti")
 
 
 def apply(df: DataFrame, step: Step, provider: Provider, ledger: Ledger) -> tuple[DataFrame, Counters]:
-    """df with the step's fields for every resolved row, and what it took."""
-    rows = keyed(df, step, provider.id)
-    distinct = rows.groupBy("__key").agg(F.first("__inputs").alias("inputs"), F.first("__spec").alias("spec")).orderBy("__key")
+    """df with the step's fields for every resolved row, and what it took.
+
+    Rows that stay without an answer are counted as withheld if a review holds them back, else as dropped.
+    """
+    rows = keyed(df, step, provider.id).withColumn("__at", F.monotonically_increasing_id())
+    keys = materialize(rows.groupBy("__key").agg(F.min_by(F.struct("__inputs", "__spec"), "__at").alias("work"), F.min("__at").alias("first"), F.count("*").alias("rows")))
     resolver = Resolver(step, provider, ledger)
-    work = ((r["__key"], r["inputs"], r["spec"]) for r in distinct.toLocalIterator())
+    if step.mode == "batch":
+        resolver.reconcile()
+    waiting = materialize(_unresolved(keys, ledger).orderBy("first"))
+    work = ((r["__key"], r["work"]["__inputs"], r["work"]["__spec"]) for r in waiting.orderBy("first").toLocalIterator())
     (resolver.batch if step.mode == "batch" else resolver.online)(work)
-    known = materialize(ledger.snapshot(df.sparkSession).where("state = 'completed'").select(F.col("work_key").alias("__key"), F.col("output_json").alias("__output")))
+    known = materialize(ledger.snapshot(df.sparkSession, "state = 'completed'").select(F.col("work_key").alias("__key"), F.col("output_json").alias("__output")).join(keys.select("__key"), "__key", "left_semi"))
+    held = ledger.withheld_keys(df.sparkSession).select(F.col("work_key").alias("__key"), F.lit(True).alias("held"))
+    n = resolver.n
+    counted = keys.join(known.select("__key", F.lit(True).alias("done")), "__key", "left").join(held, "__key", "left")
+    sums = counted.agg(*(F.coalesce(F.sum(F.when(c, F.col("rows")).otherwise(0)), F.lit(0)) for c in (F.lit(True), F.col("done"), F.col("done").isNull() & F.col("held"), F.col("done").isNull() & F.col("held").isNull()))).first()
+    n.seen, resolved, n.withheld, n.dropped = sums
+    paid = waiting.join(known.select("__key"), "__key", "left_semi").count()
+    n.reused = resolved - min(paid, n.calls)
     answer = F.from_json("__output", ", ".join(f"`{f['name']}` {_SPARK[f['type']]}" for f in step.fields))
     joined = rows.join(known, "__key").withColumn("__answer", answer)
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"__answer.`{f['name']}`").alias(f["name"]) for f in step.fields)), resolver.n
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"__answer.`{f['name']}`").alias(f["name"]) for f in step.fields)), n

@@ -38,9 +38,9 @@ def test_work_is_paid_for_once(spark, mode):
     df = rows(spark, [f"dup-{i % 20:04d}" for i in range(200)])
     out, n = semantic.apply(df, step(mode=mode), provider, ledger)
     assert out.columns == ["id", "description", "category", "score"]
-    assert out.count() == 200 and provider.calls == n.calls == 20
+    assert out.count() == 200 and provider.calls == n.calls == 20 and (n.seen, n.reused) == (200, 180)
     again, n = semantic.apply(df, step(mode=mode), provider, ledger)
-    assert provider.calls == 20 and n.reused == 20 and n.tokens == 0 and again.count() == 200
+    assert provider.calls == 20 and (n.calls, n.reused, n.tokens) == (0, 200, 0) and again.count() == 200
     assert ledger.counts() == {"pending": 0, "submitted": 0, "completed": 20, "failed": 0}
 
 
@@ -58,6 +58,38 @@ def test_breaker_counts_invalid_outputs_in_a_row(spark):
     provider = Scripted([BAD, BAD, GOOD])
     out, n = semantic.apply(rows(spark, [f"t{i}" for i in range(6)]), step(on_invalid="drop", max_consecutive_invalid=3), provider, Ledger())
     assert (out.count(), n.dropped) == (2, 4)
+    # In the order of arrival, so every third answer is good.
+    assert sorted(r["description"] for r in out.collect()) == ["t2", "t5"]
+
+
+def test_a_batch_is_held_to_the_ceiling_as_a_whole(spark):
+    provider, ledger, df = MockProvider(), Ledger(), rows(spark, [f"t{i}" for i in range(50)])
+    with pytest.raises(semantic.CeilingReached):
+        semantic.apply(df, step(mode="batch", max_run_tokens=1000), provider, ledger)
+    assert provider.calls == 0 and ledger.counts()["submitted"] == 0
+    out, n = semantic.apply(df, step(mode="batch", max_run_tokens=100_000), provider, ledger)
+    assert out.count() == n.calls == 50
+
+
+def test_jobs_of_other_inputs_are_taken_up_too(spark):
+    provider, ledger = MockProvider(), Ledger()
+    semantic.POLL_SECONDS = 0
+    left = semantic.keyed(rows(spark, ["old"]), step(mode="batch"), "mock").first()
+    job = provider.submit_batch([(left["__key"], Request("classify the ticket", json.loads(left["__inputs"]), step().schema))])
+    ledger.ensure_pending(left["__key"], left["__spec"])
+    ledger.mark_submitted(left["__key"], job)
+    out, n = semantic.apply(rows(spark, ["new"]), step(mode="batch"), provider, ledger)
+    assert out.count() == 1 and ledger.counts()["completed"] == 2 and n.calls == 1
+
+
+def test_a_long_ledger_is_carried_over_in_parts(spark, monkeypatch):
+    from millrace.operators import ledger as module
+
+    monkeypatch.setattr(module, "PART", 7)
+    provider, ledger, df = MockProvider(), Ledger(), rows(spark, [f"t{i}" for i in range(30)])
+    semantic.apply(df, step(), provider, ledger)
+    out, n = semantic.apply(df, step(), provider, ledger)
+    assert out.count() == 30 and n.calls == 0 and ledger.snapshot(spark).count() == 30
 
 
 def test_budgets_and_ceiling(spark):
