@@ -57,6 +57,12 @@ class Ledger:
         now = self._now()
         return self._write("INSERT INTO work_items (work_key, state, spec_json, created_at, updated_at) VALUES (?, 'pending', ?, ?, ?) ON CONFLICT DO NOTHING", key, spec, now, now)
 
+    def ensure_all_pending(self, items: Iterable[tuple[str, str]]) -> None:
+        """(key, spec) of many, in one transaction."""
+        now = self._now()
+        with self.db:
+            self.db.executemany("INSERT INTO work_items (work_key, state, spec_json, created_at, updated_at) VALUES (?, 'pending', ?, ?, ?) ON CONFLICT DO NOTHING", ((k, spec, now, now) for k, spec in items))
+
     def state(self, key: str) -> str | None:
         row = self.db.execute("SELECT state FROM work_items WHERE work_key = ?", (key,)).fetchone()
         return row and row[0]

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 
 def last_write_wins(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """One row per key, that with the largest ordinal. An aggregate, so copies of a hot key are combined before the shuffle."""
@@ -24,22 +26,36 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], ordinal:
     return target.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
+def running(df: DataFrame, values: Mapping[str, Column], order: Sequence[str], kind: str = "sum") -> DataFrame:
+    """df with running sums or maxima over a global order, its own row counted.
+
+    Rows are dealt by ranges of the order; each range is summed up, and what is ahead of it is added, so no task has to hold
+    more than a range. The ranges' sums are as many rows as there are partitions.
+    """
+    total = {"sum": F.sum, "max": F.max}[kind]
+    rows = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    rows = materialize(rows.withColumns({f"__v_{name}": value for name, value in values.items()}))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__range").agg(*(total(f"__v_{name}").alias(f"__v_{name}") for name in values))
+    ahead = F.broadcast(sums.select("__range", *(total(f"__v_{name}").over(before).alias(f"__a_{name}") for name in values)))
+    upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(ahead, "__range")
+    own = lambda name: total(f"__v_{name}").over(upto)
+    both = (lambda x, y: x + F.coalesce(y, F.lit(0))) if kind == "sum" else F.greatest
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *(both(own(name), F.col(f"__a_{name}")).alias(name) for name in values))
+
+
 def breaker_trips(df: DataFrame, valid: Column, order: Sequence[str], limit: int) -> DataFrame:
     """(position, run) of rows at which `limit` invalid outputs in a row are reached; the order is global by meaning."""
-    seq = Window.orderBy(*order)
-    rows = df.select("*", valid.alias("__ok"), F.row_number().over(seq).alias("position"))
-    rows = rows.withColumn("__island", F.sum(F.col("__ok").cast("int")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("__island").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("run", F.sum((~F.col("__ok")).cast("int")).over(within))
+    rows = running(df.withColumn("__ok", valid), {"position": F.lit(1).cast("long")}, order)
+    rows = running(rows, {"__last": F.when(F.col("__ok"), F.col("position"))}, ["position"], "max")
+    rows = rows.withColumn("run", F.col("position") - F.coalesce("__last", F.lit(0)))
     return rows.where(~F.col("__ok") & (F.col("run") == limit)).select("position", "run")
 
 
 def within_ceiling(df: DataFrame, cost: Column, order: Sequence[str], ceiling: int) -> DataFrame:
     """Rows dispatched before the first whose cost would pass the ceiling, at most costs."""
-    seq = Window.orderBy(*order)
-    upto = seq.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("consumed", F.sum(cost).over(upto))
-    return rows.where(F.col("consumed") <= ceiling)
+    return running(df, {"consumed": cost}, order).where(F.col("consumed") <= ceiling)
 
 
 def split_by_policy(df: DataFrame, problems: Column, policy: str) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import canonical as C
 from millrace.functions import validation
 from millrace.operators import arrow_step, dispatch, relational, sql_step
-from millrace.plans import sql_queries
+from millrace.plans import runtime_queries as runtime
+from millrace.plans import spec, sql_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,19 +138,6 @@ def dedup_dispatch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("records", "calls", reused.alias("reused"), F.round(relational.reuse_percent(reused, F.col("records")), 6).alias("reuse_pct"))
 
 
-@query(f"""WITH k AS ({_KEYED}), ledger AS (SELECT DISTINCT work_key FROM k WHERE doc_id % 2 = 0)
-SELECT doc_id, l.work_key IS NOT NULL AS reused, CASE WHEN l.work_key IS NULL THEN CAST((strlen(inputs) + 19) // 4 AS BIGINT) ELSE 0 END AS billed
-FROM k LEFT JOIN ledger l ON k.work_key = l.work_key WHERE doc_id % 2 = 1""")
-def incremental_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    given = C.canonical_inputs(docs, ["text"])
-    keyed = docs.select("doc_id", given.alias("inputs"), _key(given, "ai.classify", FIELDS).alias("work_key"))
-    ledger = keyed.where("doc_id % 2 = 0").select("work_key").distinct().withColumn("known", F.lit(True))
-    rows = keyed.where("doc_id % 2 = 1").join(ledger, "work_key", "left")
-    billed = F.floor((F.octet_length("inputs") + len(INSTRUCTION)) / F.lit(4)).cast("long")
-    return rows.select("doc_id", F.coalesce("known", F.lit(False)).alias("reused"), F.when(F.col("known").isNull(), billed).otherwise(0).alias("billed"))
-
-
 @query("""WITH r AS (SELECT quality = 1 AS ok, row_number() OVER (ORDER BY doc_id) AS position FROM labels),
 i AS (SELECT *, sum(ok::INT) OVER (ORDER BY position) AS island FROM r),
 n AS (SELECT *, CAST(sum((NOT ok)::INT) OVER (PARTITION BY island ORDER BY position) AS BIGINT) AS run FROM i)
@@ -170,26 +158,6 @@ def oninvalid_policy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEDGER = "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'completed' WHEN l.toxic = 1 THEN 'submitted' ELSE 'failed' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger of the documents, its states standing for labels."""
-    labels = table(spark, sf_dir, "labels")
-    rows = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
-    state = F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 1, "completed").when(F.col("toxic") == 1, "submitted").otherwise("failed")
-    return rows.select("doc_id", state.alias("state"))
-
-
-@query(f"WITH w AS ({_LEDGER}) SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'submitted') AS submitted, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'failed') AS failed FROM w")
-def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger(spark, sf_dir).agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("pending", "submitted", "completed", "failed")))
-
-
-@query(f"WITH w AS ({_LEDGER}), q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'accepted' ELSE 'pending' END AS status FROM w WHERE state = 'failed') SELECT q.doc_id, w.state, d.source FROM q JOIN w USING (doc_id) JOIN documents d USING (doc_id) WHERE q.status = 'pending'")
-def review_queue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = _ledger(spark, sf_dir)
-    queue = work.where("state = 'failed'").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "accepted").otherwise("pending").alias("status"))
-    return queue.where("status = 'pending'").join(work, "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "state", "source").orderBy("doc_id")
-
-
 @query("""WITH staged AS (SELECT 'r' || conv_id || '-' || turn AS record_id, md5(text) AS input_hash, sha256(text) AS work_key FROM conversations),
 results AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'r' || conv_id || '-' || turn END AS record_id, md5(text) AS input_hash FROM conversations)
 SELECT conv_id, turn, coalesce(a.k, b.k) AS work_key FROM results r
@@ -209,25 +177,6 @@ def upsert_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.last_write_wins(rows, ["o_custkey"], "o_orderkey")
 
 
-@query("SELECT o_orderkey, count(*) AS copies FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
-def append_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
-    return rows.select("o_orderkey").unionAll(rows.where("o_orderstatus = 'O'").select("o_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("copies"))
-
-
-@query("SELECT 'high' AS sink, count(*) AS rows_out FROM events WHERE value > 50 UNION ALL SELECT 'all', count(*) FROM events")
-def fanout_tee_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    branch = F.explode(F.when(F.col("value") > 50, F.array(F.lit("high"), F.lit("all"))).otherwise(F.array(F.lit("all"))))
-    return rows.select(branch.alias("sink")).groupBy("sink").agg(F.count("*").alias("rows_out"))
-
-
-@query("SELECT n_name AS url FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 2)")
-def workunit_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, done = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").where("r_regionkey < 2")
-    return units.join(done, F.col("n_regionkey") == F.col("r_regionkey"), "left_anti").select(F.col("n_name").alias("url"))
-
-
 @query("SELECT n_name, sha256(encode('demo') || '\\x00'::BLOB || encode('file:///data/' || n_name) || '\\x00'::BLOB || unhex(printf('%016x', n_nationkey * 1000)) || unhex(printf('%016x', CAST(1700000000000 AS BIGINT) + n_nationkey))) AS unit_key FROM nation")
 def unit_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey").cast("long")
@@ -271,12 +220,6 @@ def eval_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.macro_f1(_predicted(spark, sf_dir), "expected", "predicted").select(F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query(f"WITH p AS ({_PRED}) SELECT round((3.0::DOUBLE * avg((expected = predicted)::INT) + 1.0::DOUBLE * avg(valid::INT)) / 4.0::DOUBLE, 9) AS weighted_score FROM p")
-def eval_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = (F.lit(3.0) * relational.accuracy(F.col("expected") == F.col("predicted")) + relational.accuracy(F.col("valid"))) / F.lit(4.0)
-    return _predicted(spark, sf_dir).agg(F.round(score, 9).alias("weighted_score"))
-
-
 @query(f"WITH p AS ({_PRED}) SELECT CAST(quantile_disc(latency, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(latency, 0.95) AS BIGINT) AS p95 FROM p")
 def eval_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(spark, sf_dir).agg(relational.percentile_nearest("latency", 0.5).cast("long").alias("p50"), relational.percentile_nearest("latency", 0.95).cast("long").alias("p95"))
@@ -298,19 +241,53 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy(F.col("v.problems").alias("problems")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 100")
-def smoke_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "event_type").orderBy("event_id").limit(100)
+@query("SELECT CAST(i AS BIGINT) AS id, ['alpha', 'beta', 'gamma', 'delta', 'error'][i % 5 + 1] AS category, (i % 100000) / 100.0::DOUBLE AS amount, i % 3 = 0 AS active, CASE WHEN i % 5 <> 0 THEN 'note-' || i END AS note FROM range(1000) t(i)")
+def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.sources import generators
+
+    return generators.bench_events(spark, 1000).drop("created_at")
 
 
-@query("SELECT n_name, length(n_name) BETWEEN 1 AND 63 AND regexp_matches(lower(n_name), '^[a-z0-9]([a-z0-9-]*[a-z0-9])?$') AS valid FROM nation")
+@query(f"SELECT n_name, regexp_full_match(n_name, '{spec.NAME}') AS valid, regexp_full_match(lower(n_name), '{spec.NAME}') AS valid_lower FROM nation")
 def name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_name")
-    return table(spark, sf_dir, "nation").select("n_name", (F.length(n).between(1, 63) & F.lower(n).rlike("^[a-z0-9]([a-z0-9-]*[a-z0-9])?$")).alias("valid"))
+    valid = lambda c: c.rlike(f"^(?:{spec.NAME})$")
+    return table(spark, sf_dir, "nation").select("n_name", valid(F.col("n_name")).alias("valid"), valid(F.lower("n_name")).alias("valid_lower"))
+
+
+_runtime = {f.__name__: f for f in (runtime.semantic_reuse, runtime.semantic_batch, runtime.semantic_ceiling, runtime.semantic_review, runtime.ledger_counts, runtime.review_queue_join, runtime.workunit_pending, runtime.fanout_tee_counts, runtime.smoke_cap, runtime.append_replay, runtime.upsert_replay)}
+QUERIES |= _runtime
+
+#: Distinct documents in the order they arrive in, what each is estimated to take and what it takes.
+_STEP_SCHEMA = C.canonical_json(C.output_schema(runtime.FIELDS))
+_WORK = f"""SELECT {_TEXT_INPUT} AS inputs, text, min(doc_id) AS arrived, count(*) AS n FROM documents GROUP BY text"""
+_WORK = f"""SELECT *, CAST(ceil((strlen(inputs) + {len(INSTRUCTION) + len(_STEP_SCHEMA)}) / 4.0) AS BIGINT) AS est, CAST((strlen(inputs) + 19) // 4 + strlen({_MADE}) // 4 AS BIGINT) AS tokens
+FROM (SELECT *, {_SEED.format(inputs="inputs")} AS seed FROM ({_WORK}))"""
+_TURNS = f"""SELECT *, row_number() OVER (ORDER BY arrived) AS turn, coalesce(sum(tokens) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + est + {runtime.CAP} > {runtime.CEILING} AS beyond FROM ({_WORK})"""
+
+ORACLES |= {
+    "semantic_reuse": f"WITH w AS ({_WORK}), s AS (SELECT CAST(sum(n) AS BIGINT) AS seen, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM w) SELECT 1 AS pass, seen, calls, tokens, seen - calls AS reused, seen AS rows_out FROM s UNION ALL SELECT 2, seen, 0, 0, seen, seen FROM s",
+    "semantic_batch": _mock_sql("doc_id, 'vendor-' || printf('%04x', (CAST(seed AS HUGEINT) + 1) % 18446744073709551616 % 65535) AS vendor, CAST(seed % 1000 AS BIGINT) AS amount", _TEXT_INPUT, "documents"),
+    "semantic_ceiling": f"WITH t AS ({_TURNS}), f AS (SELECT coalesce(min(turn) FILTER (beyond), count(*) + 1) AS first, count(*) AS n FROM t) SELECT CASE WHEN first <= n THEN 1 ELSE 0 END AS pending, 0 AS submitted, first - 1 AS completed, 0 AS failed FROM f",
+    "semantic_review": f"WITH w AS ({_WORK}), h AS (SELECT text FROM w WHERE est > {runtime.LONGEST}) SELECT doc_id, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM w WHERE est > {runtime.LONGEST}) AS withheld, (SELECT count(*) FROM h) AS queued FROM documents WHERE text IN (SELECT text FROM h)",
+    "ledger_counts": f"WITH w AS ({_LEDGER}) SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'submitted') AS submitted, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'failed') AS failed FROM w",
+    "review_queue_join": f"WITH w AS ({_LEDGER}) SELECT w.doc_id, w.state, d.source FROM w JOIN documents d USING (doc_id) WHERE w.state = 'failed' AND w.doc_id % 3 <> 0",
+    "workunit_pending": "SELECT n_name AS url FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 2)",
+    "fanout_tee_counts": "SELECT 'high-only' AS sink, count(*) AS rows_out, count(*) AS rows_there FROM events WHERE value > 50 UNION ALL SELECT 'all', count(*), count(*) FROM events",
+    "smoke_cap": "SELECT least(count(*), 100) AS rows_in, least(count(*), 100) AS rows_out FROM events",
+    "append_replay": "SELECT o_orderkey, count(*) AS copies FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1",
+    "upsert_replay": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders",
+}
 
 
-@query("SELECT CAST(i AS BIGINT) AS id, ['alpha', 'beta', 'gamma', 'delta', 'error'][i % 5 + 1] AS category, (i % 100000) / 100.0::DOUBLE AS amount, i % 3 = 0 AS active, CASE WHEN i % 5 <> 0 THEN 'note-' || i END AS note FROM range(1000) t(i)")
-def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.sources import generators
+@query(f"WITH p AS ({_PRED}) SELECT round((3.0::DOUBLE * avg((expected = predicted)::INT) + 1.0::DOUBLE * avg(valid::INT)) / 4.0::DOUBLE, 9) AS weighted_score FROM p")
+def eval_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runtime.eval_weighted(_predicted(spark, sf_dir))
 
-    return generators.bench_events(spark, 1000).drop("created_at")
+
+@query("WITH input AS (SELECT * FROM orders) SELECT o_custkey, CAST(n AS BIGINT) AS n, share FROM (SELECT o_custkey, count(*) AS n, round(max(o_totalprice) / 7.0::DOUBLE, 2) AS share FROM input WHERE o_orderstatus <> 'P' GROUP BY o_custkey) WHERE n > 2")
+def sql_chained_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps, each over the last one's result: one plan."""
+    rows = table(spark, sf_dir, "orders")
+    for text in ("SELECT o_custkey, o_totalprice FROM input WHERE o_orderstatus <> 'P'", "SELECT o_custkey, count(*) AS n, round(max(o_totalprice) / 7.0, 2) AS share FROM input GROUP BY o_custkey", "SELECT * FROM input WHERE n > 2"):
+        rows = sql_step.run(rows, text)
+    return rows

@@ -154,6 +154,10 @@ def edges(spec: Mapping) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     return wired, [(s["id"], s.get("from") or last) for s in spec.get("sinks") or []]
 
 
+#: A pipeline's name: a DNS label.
+NAME = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+
+
 def validate(doc: Mapping) -> list[str]:
     """Every issue as `path: what`; an empty list means the document can be planned."""
     out: list[str] = []
@@ -162,7 +166,7 @@ def validate(doc: Mapping) -> list[str]:
         out.append(f"apiVersion: `{doc['apiVersion']}` is not supported")
     if doc["kind"] != "Pipeline":
         out.append(f"kind: `{doc['kind']}` is not Pipeline")
-    if not re.fullmatch(r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?", doc["metadata"]["name"]):
+    if not re.fullmatch(NAME, doc["metadata"]["name"]):
         out.append("metadata.name: 1 to 63 lower-case letters, digits and inner hyphens")
     models = spec.get("models") or {}
     for name, m in models.items():

@@ -32,9 +32,28 @@ STEPS: list[tuple[str, str, str]] = [
     ("sql_values", "region", "SELECT r_name, v.label FROM input JOIN (VALUES (0, 'zero'), (1, 'one')) AS v(k, label) ON v.k = r_regionkey"),
     ("sql_predicates", "part", "SELECT p_partkey, p_name LIKE '%a%' AS has_a, p_name ILIKE '%A%' AS any_a, p_size BETWEEN 5 AND 10 AS mid, p_brand IS NOT DISTINCT FROM p_type AS same FROM input"),
     ("sql_string_functions", "customer", "SELECT c_custkey, concat(c_name, '-', c_mktsegment) AS c, replace(c_mktsegment, 'A', '_') AS r, lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS p, reverse(c_name) AS v, substr(c_name, 2, 3) AS s, strpos(c_name, '0') AS i, md5(c_name) AS m, ltrim(rtrim(c_name)) AS t, repeat('x', 2) AS x, left(c_name, 3) AS l, right(c_name, 3) AS e, split_part(c_name, '#', 1) AS h FROM input"),
-    ("sql_regex", "documents", "SELECT doc_id, regexp_replace(lang, '[aeiou]', '_') AS masked FROM input WHERE lang IS NOT NULL"),
+    ("sql_regex", "customer", "SELECT c_custkey, regexp_replace(c_mktsegment, '[AEIOU]', '_') AS first_vowel, regexp_replace(c_mktsegment, '[AEIOU]', '_', 'g') AS all_vowels, regexp_replace(c_mktsegment, '([A-Z])([A-Z])', '\\2\\1') AS turned, regexp_matches(c_mktsegment, '^[A-F]') AS early FROM input"),
     ("sql_math", "part", "SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice / 10.0) AS BIGINT) AS c, CAST(floor(p_retailprice / 10.0) AS BIGINT) AS f, round(p_retailprice / 7.0, 2) AS r, power(p_size, 2) AS w, round(sqrt(p_size), 9) AS q, round(ln(p_size), 9) AS n, p_size % 7 AS m FROM input WHERE p_size > 0"),
     ("sql_dates", "orders", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('month', o_orderdate) AS month, o_orderdate + INTERVAL '1' DAY AS tomorrow FROM input"),
-    ("sql_unnest_series", "region", "SELECT r_name, length(r_name) * 2 AS n FROM input WHERE r_regionkey >= 0"),
+    ("sql_unnest_series", "region", "SELECT r_regionkey, i, r_regionkey * 10 + i AS n FROM input, generate_series(1, 4) AS t(i) WHERE i > r_regionkey"),
+    ("sql_unnest_lists", "nation", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey, 7]) AS v FROM input"),
+    ("sql_lists", "nation", "SELECT n_nationkey, [n_regionkey, 5, 9][2] AS second, list_contains([1, 2, 3], n_regionkey) AS has, array_to_string(list_sort(list_distinct([n_name, 'B', 'B'])), '|') AS joined FROM input"),
+    ("sql_ordered_aggregates", "nation", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names, array_to_string(array_agg(n_name ORDER BY n_nationkey), '|') AS listed, first(n_name ORDER BY n_nationkey) AS lowest, last(n_name ORDER BY n_nationkey) AS highest, arg_max(n_name, n_nationkey) AS top FROM input GROUP BY n_regionkey"),
+    ("sql_approximate", "orders", "SELECT o_orderstatus, approx_count_distinct(o_custkey) BETWEEN count(DISTINCT o_custkey) * 0.8 AND count(DISTINCT o_custkey) * 1.2 AS near, count(DISTINCT o_custkey) AS exact FROM input GROUP BY o_orderstatus"),
+    ("sql_quantiles", "lineitem", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.9), 4) AS q9 FROM input GROUP BY l_returnflag"),
+    ("sql_regressions", "lineitem", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS base, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2, regr_count(l_tax, l_quantity) AS n FROM input GROUP BY l_returnflag"),
+    ("sql_bool_aggregates", "orders", "SELECT o_orderpriority, bool_and(o_totalprice > 0.0) AS every_one, bool_or(o_orderstatus = 'P') AS some, min(o_orderstatus) AS least FROM input GROUP BY o_orderpriority"),
+    ("sql_qualify", "orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM input WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
+    ("sql_qualify_alias", "orders", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r FROM input QUALIFY r < 4"),
+    ("sql_distinct_on", "orders", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderstatus FROM input ORDER BY o_custkey, o_orderkey DESC"),
+    ("sql_natural_join", "supplier", "SELECT s_suppkey, s_name, big FROM input NATURAL JOIN (SELECT s_suppkey, s_acctbal > 5000.0 AS big FROM input) q"),
+    ("sql_not_in", "part", "SELECT p_partkey FROM input WHERE p_size NOT IN (SELECT p_size FROM input WHERE p_retailprice > 1500.0)"),
+    ("sql_cross_join", "region", "SELECT a.r_name AS a_name, b.r_name AS b_name FROM input a CROSS JOIN input b"),
+    ("sql_right_join", "supplier", "SELECT coalesce(a.s_suppkey, -1) AS a_key, b.s_suppkey AS b_key FROM (SELECT * FROM input WHERE s_acctbal > 0.0) a RIGHT JOIN input b ON a.s_suppkey = b.s_suppkey + 1"),
+    ("sql_window_values", "events", "SELECT event_id, last_value(event_id) OVER w AS last_id, nth_value(event_id, 2) OVER w AS second_id FROM input WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    ("sql_json_props", "events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') IS NULL AS none FROM input"),
+    ("sql_more_strings", "customer", "SELECT c_custkey, ascii(c_name) AS a, chr(65) AS c, starts_with(c_mktsegment, 'B') AS b, levenshtein(c_mktsegment, 'BUILDING') AS d, translate(c_name, '0', 'o') AS t, position('0' IN c_name) AS p, bit_length(c_name) AS bits, concat_ws('-', c_mktsegment, c_name) AS j, rpad(c_mktsegment, 12, '.') AS r, trim(BOTH 'C' FROM c_name) AS m FROM input"),
+    ("sql_trigonometry", "part", "SELECT p_partkey, round(sin(p_size), 9) AS s, round(cos(p_size), 9) AS c, round(atan2(p_size, 3.0), 9) AS a, round(degrees(radians(p_size)), 6) AS d, CAST(sign(p_size - 25) AS INTEGER) AS g, round(exp(p_size / 50.0), 9) AS e, round(log10(p_size + 1), 9) AS l, round(cbrt(p_size), 9) AS b FROM input"),
+    ("sql_make_dates", "orders", "SELECT o_orderkey, CAST(make_date(2020, 1 + CAST(o_orderkey % 12 AS INTEGER), 1) AS VARCHAR) AS d, date_part('quarter', o_orderdate) AS q, extract(dow FROM o_orderdate) >= 0 AS w, CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS e FROM input"),
     ("sql_quoted_text", "region", "SELECT r_regionkey AS \"Key\", 'it''s a \\n' AS note, length('a\\nb') AS n FROM input"),
 ]
