@@ -31,6 +31,14 @@ def _no_constants(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+def unfenced(text: str) -> str:
+    """A model's answer without the code fence that some put around JSON."""
+    text = text.strip()
+    if not text.startswith("```"):
+        return text
+    return text.removeprefix("```").removeprefix("json").removesuffix("```").strip()
+
+
 def problems(text: str | None, fields: Iterable[Mapping]) -> tuple[dict | None, list[str]]:
     """The output with its fields in declared order, or None and what is wrong with it."""
     try:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import canonical as C
-from millrace.functions.validation import problems
+from millrace.functions.validation import problems, unfenced
 from millrace.operators.ledger import Ledger, Result
 from millrace.operators.providers import Provider, ProviderFault, Request, Response
 from millrace.session import materialize
@@ -115,7 +115,7 @@ class Resolver:
     def _take(self, key: str, r: Response, online: bool) -> None:
         self.n.tokens += r.input_tokens + r.output_tokens
         cap = self.step.max_output_tokens
-        value, wrong = (None, [f"its output has {r.output_tokens} tokens, more than {cap}"]) if cap is not None and r.output_tokens > cap else problems(r.text, self.step.fields)
+        value, wrong = (None, [f"its output has {r.output_tokens} tokens, more than {cap}"]) if cap is not None and r.output_tokens > cap else problems(unfenced(r.text), self.step.fields)
         if not wrong:
             text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
             self.ledger.complete(key, Result(text, self.provider.id, self.step.model, r.request_id, r.input_tokens, r.output_tokens))

@@ -56,7 +56,10 @@ def semantic_step(spark: SparkSession, t: Mapping, models: Mapping, smoke: bool
 
 def _function(component: str):
     """A packaged function as `module:attribute`; its module names its output schema in the function's `schema`."""
-    module, _, name = arrow_step.parse_component(component).path.partition(":")
+    path = arrow_step.parse_component(component).path
+    if path is None:
+        raise NotImplementedError(f"`{component}` names an artifact of a registry, which has no client here; give module:attribute")
+    module, _, name = path.partition(":")
     return getattr(importlib.import_module(module), name)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values of the generators.
+#: Fixed values of the bench events.
 CATEGORIES = ("alpha", "beta", "gamma", "delta", "error")
 EPOCH_MICROS = 1_700_000_000_000_000
+#: What labelled tickets are made of; any words would do.
 OPENERS = ("Hello", "Hi team", "Good morning", "Urgent", "Please help", "To whom it may concern", "Hey", "Dear support")
 TOPICS = (("billing", "the invoice shows a wrong amount"), ("outage", "the service does not answer"), ("login", "the password is refused"), ("shipping", "the parcel did not arrive"), ("feature", "an export to a table would help"))
 

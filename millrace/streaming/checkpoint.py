@@ -22,6 +22,9 @@ class CheckpointLog:
     """A torn last line is cut off; one in the middle is an error."""
 
     def __init__(self, folder: str) -> None:
+        scheme = folder.partition("://")[0] if "://" in folder else "file"
+        if scheme != "file":
+            raise ValueError(f"a checkpoint log is a local file of the driver, which {scheme}:// is not")
         folder = folder.removeprefix("file://")
         os.makedirs(folder, exist_ok=True)
         self.path = os.path.join(folder, "checkpoint.jsonl")

@@ -162,6 +162,16 @@ def test_checkpoint_log_survives_a_torn_line(tmp_path):
         CheckpointLog(str(tmp_path))
 
 
+def test_a_checkpoint_log_is_local():
+    with pytest.raises(ValueError):
+        CheckpointLog("s3://bucket/state")
+
+
+def test_components_of_a_registry_are_refused_in_words():
+    with pytest.raises(NotImplementedError, match="registry"):
+        compiler._function("oci://reg.io/team/f@sha256:" + "a" * 64)
+
+
 def test_arrow_steps(spark):
     assert arrow_step.conformance(arrow_step.gross("amount")) == []
     df = spark.range(10).selectExpr("id", "id * 1.5D AS amount")

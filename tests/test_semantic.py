@@ -152,6 +152,22 @@ def test_completed_items_never_change():
     assert ledger.state("k") == "completed"
 
 
+def test_reuse_report(spark):
+    from millrace.operators import reuse
+
+    found = {s.id: s for s in reuse.suite(spark, step())}
+    numbers = lambda s: (s.records, s.calls, s.reused)
+    assert [numbers(found[k]) for k in ("first_pass", "replay", "incremental", "duplicates")] == [(50, 50, 0), (50, 0, 50), (45, 10, 35), (200, 20, 180)]
+    assert found["replay"].tokens == 0 and found["first_pass"].tokens > 0 and found["replay"].reuse_percent == 100
+    assert found["duplicates"].savings_percent == pytest.approx(90) and found["duplicates"].reuse_percent == pytest.approx(90)
+    assert len(json.loads(reuse.as_json(list(found.values())))["scenarios"]) == 4
+
+
+def test_answers_in_code_fences_are_taken(spark):
+    out, n = semantic.apply(rows(spark, ["a"]), step(), Scripted(["```json\n" + GOOD + "\n```"]), Ledger())
+    assert out.first()["category"] == "a" and n.calls == 1
+
+
 def test_timestamp_outputs_are_refused():
     with pytest.raises(ValueError):
         step(fields=[{"name": "t", "type": "timestamp"}])
