@@ -9,7 +9,8 @@ prototypes do not depend on partitions or on their order.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; equal cosines go to the smaller name; a language
 with one text is learned like any other; without any labelled text all rows are `und`; repeated rows count as often as
-they come; other columns are carried or ignored, whatever their names.
+they come; a text of any length is bundled whole; an empty table gives no prototypes, or no rows; other columns are carried
+or ignored, whatever their names.
 """
 
 from __future__ import annotations

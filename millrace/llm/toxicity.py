@@ -10,7 +10,9 @@ It runs in one task of bounded size; every text is then scored whole.
 
 Edge cases: null and empty texts have no n-gram and get the score of the bias alone, as do all texts if no label or only
 one class is known; a document with conflicting labels counts once for each; labels without a document are ignored;
-repeated rows are each scored; other columns are ignored, whatever their names.
+repeated rows are each scored; ties of the ids' hashes in the sample go to the smaller id; a text of any length is scored whole,
+and at 0.5 exactly counts as toxic; empty tables give an untrained model, or no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
