@@ -34,7 +34,10 @@ _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 _ENDS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？", "؟", "।")
 _BOILERPLATE = re.compile(
     r"\b(?:all rights reserved|licensed under|terms of (?:use|service)|privacy policy|cookie(?:s| policy)|subscribe (?:now|to)|sign (?:in|up)|log ?in|"
-    r"powered by|copyright \d{4}|click here|read more|share (?:this|on)|enable javascript|lorem ipsum)\b|©",
+    r"powered by|copyright \d{4}|click here|read more|share (?:this|on)|enable javascript|lorem ipsum|"
+    r"alle rechte vorbehalten|datenschutz(?:erklärung)?|impressum|nutzungsbedingungen|hier klicken|weiterlesen|jetzt anmelden|cookie-richtlinie|"
+    r"tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|cliquez ici|lire la suite|se connecter|"
+    r"todos los derechos reservados|política de privacidad|aviso legal|condiciones de uso|haga clic aquí|leer más|iniciar sesión)\b|©",
     re.IGNORECASE,
 )
 
