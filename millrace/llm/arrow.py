@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once in a Python worker; one longer text makes a piece of its own.
 PIECE = 4 << 20
 
 
+#: Rows of texts that go to a Python worker at once, in the jobs that small_batches() holds for.
+ROWS = 2000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs inside: batches of at most ROWS rows, since both sides hold a batch or two of each task."""
+    before = spark.conf.get(_ROWS_CONF)
+    if 0 < int(before) <= ROWS:
+        yield
+        return
+    spark.conf.set(_ROWS_CONF, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_CONF, before)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:

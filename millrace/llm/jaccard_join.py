@@ -30,12 +30,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import pieces, utf8
+from millrace.llm.arrow import pieces, small_batches, utf8
 from millrace.llm.graph import components
 from millrace.llm.native import free_name, quoted
 from millrace.llm.shingles import mix, set_id, shingle_sets, shingle_sets_with_cost, word_hashes
@@ -61,9 +62,11 @@ SPLIT_PAGES = 4096
 PIECE = 1 << 20
 #: Pairs of a point and a node, or of two points, that are compared at once.
 COMPARED = 1 << 16
+#: Pairs that the queries searched at once may come to, at most.
+AHEAD = 4 * COMPARED
 FEW = COMPARED * GROUPS // FINE
 #: Shingles of sets that a task keeps for its next pairs.
-KEPT = 1 << 22
+KEPT = 1 << 20
 
 
 def rarest(shingles: np.ndarray, word_cost: np.ndarray, cost: np.ndarray, percent: int) -> np.ndarray:
@@ -91,11 +94,12 @@ def _sketch(words: int):
     """For each task, how often words, then shingles of sets, are met at each of the places they are hashed to, in ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+        counts = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
         for batch in pieces(batches, limit=PIECE):
             text = utf8(batch.column("text"))
             for row, hashes in zip(counts, (word_hashes(*text)[0], np.concatenate(shingle_sets(*text, words))), strict=True):
-                row += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(row))
+                place, n = np.unique((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                row[place] += n.astype(np.uint32)  # a task has fewer than 2**32 of each
         for at, part in enumerate(np.split(counts.ravel(), SKETCH_RANGES)):
             yield _packed(at, part)
 
@@ -215,7 +219,7 @@ class Forest:
     def search(self, points: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, point) of all points of the query's group that the bound admits, in bounded parts of the queries."""
         some = np.flatnonzero(self.size[group])
-        cuts = np.flatnonzero(np.diff(np.cumsum(self.size[group[some]]) // (64 * COMPARED))) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.size[group[some]]) // AHEAD)) + 1
         for queries in np.split(some, cuts):
             q, at = queries, self.root[group[queries]]
             for corner, least, most, first, held in reversed(self.levels):
@@ -379,16 +383,28 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(marked).tobytes())], pa.binary())], ["at", "bits"])
 
 
+def _marked_keys(keys: DataFrame):
+    """A broadcast bit array, of a fixed size, in which every key has its bit. SKETCH_RANGES rows come to the driver."""
+    ranged = keys.repartition(F.expr(f"(key & {_BITS - 1}) div {_BITS // SKETCH_RANGES}"))
+    bits = np.zeros((SKETCH_RANGES, _BITS // SKETCH_RANGES // 8), np.uint8)
+    for r in ranged.mapInArrow(_marks, "at int, bits binary").collect():
+        bits[r["at"]] |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = (key.view(np.uint64) % np.uint64(_BITS)).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _marked(shared):
     """(key, text) of the rows whose key may be marked, each key once for a while."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
         for batch in batches:
-            key = batch.column("key").to_numpy().view(np.uint64)
-            place = (key % np.uint64(_BITS)).astype(np.int64)
-            at = []
-            for i in np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).tolist():
+            key, at = batch.column("key").to_numpy(), []
+            for i in np.flatnonzero(_has(bits, key)).tolist():
                 if key[i] not in seen:
                     seen.add(key[i])
                     at.append(i)
@@ -408,11 +424,7 @@ def _texts(slim: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     stand_ins = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
     stand_ins = materialize(stand_ins)
-    ranged = stand_ins.select("key").repartition(F.expr(f"(key & {_BITS - 1}) div {_BITS // SKETCH_RANGES}"))
-    bits = np.zeros((SKETCH_RANGES, _BITS // SKETCH_RANGES // 8), np.uint8)
-    for r in ranged.mapInArrow(_marks, "at int, bits binary").collect():
-        bits[r["at"]] |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
-    shared = slim.sparkSession.sparkContext.broadcast(bits.ravel())
+    shared = _marked_keys(stand_ins.select("key"))
     some = slim.select("key", "text").where("text IS NOT NULL").mapInArrow(_marked(shared), "key long, text string")
     return materialize(some.groupBy("key").agg(F.first("text").alias("text")).join(stand_ins, "key").select("node", "text"))
 
@@ -471,6 +483,12 @@ def _enter(described: DataFrame, split: list[tuple[int, int]]) -> DataFrame:
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, key, n_shingles, node, root) for every row, computed once."""
+    with small_batches(docs.sparkSession):
+        return materialize(_rooted(docs, id_col, text_col, words, percent))
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, key, n_shingles, node, root) for every row; key is a hash of the text, root one node of each component."""
     slim = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).withColumn("key", F.xxhash64("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -509,7 +527,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component) for every row: component is the smallest id reachable by links, its own included."""
-    rows = materialize(_joined(docs, id_col, text_col, words, percent))
+    rows = _joined(docs, id_col, text_col, words, percent)
     least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component"))
     known = rows.where(F.col("root").isNotNull()).join(least, "root").select("id", "n_shingles", "component")
     return known.unionByName(rows.where(F.col("root").isNull()).select("id", "n_shingles", F.col("id").alias("component")))
@@ -518,20 +536,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id, without an id last, then by a hash of the text.
 
-    Rows equal in id and text are one document, with or without an id; one of them stays. Texts are moved once, to the table
-    of the documents that stay.
+    Rows equal in id and text are one document, with or without an id; one of them stays. Documents that are alone, which a bit
+    array of fixed size tells, stay where they are; the texts of the others are moved once.
     """
     rows = _joined(docs, id_col, text_col, words, percent)
     units = materialize(rows.groupBy("id", "key", "root").agg(F.count("*").alias("n")).withColumn("unit", F.xxhash64("id", "key")))
+    linked_ones = units.where(F.col("root").isNotNull())
     order = F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("key"))
-    best = units.where(F.col("root").isNotNull()).groupBy("root").agg(F.min_by(F.struct("unit", "n"), order).alias("best")).select("best.unit", "best.n")
-    kept = materialize(best.unionByName(units.where(F.col("root").isNull()).select("unit", "n")))
-    unit, n = (free_name(docs, x) for x in ("unit", "n"))
-    keyed = docs.withColumn(unit, F.xxhash64(F.col(quoted(id_col)), F.xxhash64(quoted(text_col))))
-    found = keyed.join(kept.select(F.col("unit").alias(unit), F.col("n").alias(n)), unit)
+    groups = linked_ones.groupBy("root").agg(F.min_by("unit", order).alias("best"), F.sum("n").alias("rows")).where(F.col("rows") > 1)
+    grouped = linked_ones.join(groups, "root").select("unit", (F.col("unit") == F.col("best")).alias("stays"), "n")
+    repeated = units.where(F.col("root").isNull() & (F.col("n") > 1)).select("unit", F.lit(True).alias("stays"), "n")
+    others = materialize(grouped.unionByName(repeated))
+    shared = _marked_keys(others.select(F.col("unit").alias("key")))
+
+    @F.pandas_udf("boolean")
+    def in_group(unit: pd.Series) -> pd.Series:
+        return pd.Series(_has(shared.value, unit.to_numpy(np.int64)))
+
+    unit, asked, found = (free_name(docs, x) for x in ("unit", "asked", "found"))
+    keyed = docs.withColumn(unit, F.xxhash64(F.col(quoted(id_col)), F.xxhash64(F.col(quoted(text_col)))))
+    keyed = keyed.withColumn(asked, in_group(F.col(unit)))
     back = [F.col(quoted(c)) for c in docs.columns]
-    one = found.where(F.col(n) == 1).select(back)
-    return one.unionByName(found.where(F.col(n) > 1).dropDuplicates([unit]).select(back))
+    joined = keyed.where(asked).join(others.select(F.col("unit").alias(unit), F.struct("stays", "n").alias(found)), unit, "left")
+    alone = joined.where(F.col(found).isNull() | F.col(found)["stays"] & (F.col(found)["n"] == 1))
+    many = joined.where(F.col(found)["stays"] & (F.col(found)["n"] > 1)).dropDuplicates([unit])
+    return keyed.where(~F.col(asked)).select(back).unionByName(alone.select(back)).unionByName(many.select(back))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

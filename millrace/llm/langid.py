@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.arrow import pieces
+from millrace.llm.native import quoted
 
 DIM = 1024
 SEED = 20_240_917
@@ -130,6 +131,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return dict(sorted(sums.items()))
 
 
+def _judged(text: str | None, space: Space, names: list[str], matrix: np.ndarray) -> tuple[str, float]:
+    """The language whose prototype is closest, and the cosine, at least 0."""
+    keys, counts = np.unique(trigrams(text), return_counts=True)
+    v = space.bundle(keys, counts) if len(keys) and names else None
+    if v is None or not (norm := np.linalg.norm(v)):
+        return UNKNOWN, 0.0
+    cosines = matrix @ v / norm
+    best = int(np.argmax(cosines))
+    return names[best], float(min(1.0, max(0.0, cosines[best])))
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, lang_pred, score (and, as the struct `carried`, the columns to carry) for every document."""
     names, matrix = list(prototypes), np.array(list(prototypes.values()))
@@ -142,16 +154,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
         for batch in pieces(batches, "_text"):
             langs, scores = [], []
             for text in batch.column("_text").to_pylist():
-                keys, counts = np.unique(trigrams(text), return_counts=True)
-                v = space.bundle(keys, counts) if len(keys) and names else None
-                if v is None or not (norm := np.linalg.norm(v)):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                cosines = matrix @ v / norm
-                best = int(np.argmax(cosines))
-                langs.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cosines[best]))))
+                lang, score = _judged(text, space, names, matrix)
+                langs.append(lang)
+                scores.append(score)
             rest = ["carried"] if carry else []
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(c) for c in rest)], ["id", "lang_pred", "score", *rest])
 
@@ -160,9 +165,20 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is in a learned language."""
-    found = identify(docs, prototypes, id_col, text_col, carry=tuple(docs.columns))
-    least = F.when(F.char_length(F.col("carried")[text_col]) < SHORT, MIN_SHORT).otherwise(MIN_SCORE)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("carried.*")
+    names, matrix = list(prototypes), np.array(list(prototypes.values()))
+
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Space()
+        for column in texts:
+            good = []
+            for batch in pieces([pa.RecordBatch.from_arrays([column], ["text"])]):
+                for text in batch.column("text").to_pylist():
+                    lang, score = _judged(text, own, names, matrix)
+                    good.append(lang != UNKNOWN and score >= (MIN_SHORT if len(text) < SHORT else MIN_SCORE))
+            yield pa.array(good, pa.bool_())
+
+    return docs.where(known(F.col(quoted(text_col))))
 
 
 def held_out(id_col: str = "doc_id"):
