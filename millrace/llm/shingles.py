@@ -32,11 +32,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def spans_hashed(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span: a polynomial modulo 2**64, taken from one running sum, and then mixed."""
+    running = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=running[1:])
+    h = (running[stops] - running[starts]) * _powers(_INVERSE, len(raw))[starts]
+    return mix(h + (stops - starts).astype(np.uint64))
+
+
 def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, in order, and the number of words of each text.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case. A word's hash is a polynomial of its bytes
-    modulo 2**64, taken from one running sum over all texts, and then mixed.
+    Words are runs of bytes other than ASCII white space, A-Z in lower case.
     """
     n, sizes = len(ends) - 1, np.diff(ends)
     apart = np.full(len(raw) + n + 1, 32, np.uint8)
@@ -44,12 +51,9 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inside = _IN_WORD[apart]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, stops = edge[::2], edge[1::2]
-    running = np.zeros(len(apart) + 1, np.uint64)
-    np.cumsum((apart.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(apart)), out=running[1:])
-    h = (running[stops] - running[starts]) * _powers(_INVERSE, len(apart))[starts]
     first = 1 + ends[:-1] + np.arange(n)  # where each text starts in `apart`
     counts = np.diff(np.searchsorted(starts, np.append(first, len(apart) + 1)))
-    return mix(h + (stops - starts).astype(np.uint64)), counts
+    return spans_hashed(apart, starts, stops), counts
 
 
 def _shingles(raw: np.ndarray, ends: np.ndarray, words: int, cost: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:

@@ -1,15 +1,15 @@
 """Token-ID output: texts are encoded and written, in ascending id order, as one wavelet matrix file per shard.
 
 Documents are dealt by ranges of their id and sorted inside a range; every task writes files of at most SHARD_TOKENS tokens
-(a longer document has a file of its own) to a folder that all executors reach, under a name that depends on the partition
-alone: a task that is run again writes the same bytes to the same place. Files are written aside and then renamed.
+(a longer document has a file of its own) to a folder that all executors reach, under a name of the attempt's own, so a task that is run again or
+twice never touches another's file; the rows of the tasks that count name the files that count, and others are deleted.
 
-The tokenizer's work on a word does not depend on its neighbours, so each worker keeps the ids of the words it has met. A
-text is cut before white space that follows something else, which its pattern never joins; texts with runs of white space
+The tokenizer's work on a word does not depend on its neighbours, so each worker keeps the ids of the words it has met, by
+a 64-bit hash, and has its model encode new ones, letters and signs apart. A text is cut before white space that follows something else, which its pattern never joins; texts with runs of white space
 are cut by a slower rule, with the same result.
 
 Edge cases: a null text is empty, so its document has only the end id; repeated ids are kept, ordered by text; a null id
-comes first; an empty table gives no file and no row; other columns are ignored, whatever their names.
+comes first; a text of any length is one document of one file; an empty table gives no file and no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import wavelet
-from millrace.llm.arrow import pieces
-from millrace.session import materialize, shared_dir
+from millrace.llm.arrow import pieces, utf8
+from millrace.llm.shingles import mix, spans_hashed
+from millrace.session import materialize, new_folder
 
 END_ID = 2
 #: Stands for a null id in a file.
@@ -37,6 +37,8 @@ NO_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a worker keeps before it starts over.
 KEPT = 2_000_000
+#: Bytes of a word that is looked up by its hash.
+LONG = 48
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"[{_SPACE}]+[^{_SPACE}]*|[^{_SPACE}]+")
 _ENCODERS: dict[str, Encoder] = {}
@@ -57,26 +59,8 @@ def _byte_characters() -> list[str]:
 _BYTES = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
 
 
-class _Words(dict):
-    """Number of each word; a new word gets the next one and waits to be encoded."""
-
-    def __init__(self, encoder: Encoder, later: bool) -> None:
-        self.encoder, self.later = encoder, later
-
-    def __missing__(self, word: str) -> int:
-        encoder = self.encoder
-        if not self.later:
-            new = word
-        elif simple := _SIMPLE.fullmatch(word):
-            new = encoder.piece(" " + simple[1]) + (encoder.piece(simple[2]) if simple[2] else [])
-        elif not word or word[0] in _SPACE:
-            encoder.unsafe.add(len(encoder.waiting) + encoder.known)
-            new = []
-        else:
-            new = " " + word
-        encoder.waiting.append(new)
-        number = self[word] = encoder.known + len(encoder.waiting) - 1
-        return number
+#: Number of what stands where white space follows white space.
+_UNSAFE = 0
 
 
 class Encoder:
@@ -89,53 +73,141 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.first, self.later, self.cut = _Words(self, False), _Words(self, True), _Words(self, False)
-        self.waiting: list[str | list[int]] = []
-        self.unsafe: set[int] = set()
+        #: number of each word after a space, at the beginning of a text or line, and of each part with white space
+        self.later: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 20, np.uint16), 0
         self.start, self.length, self.known = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of what the tokenizer's pattern takes as one piece."""
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]
-
-    def _encode_waiting(self) -> None:
-        if not self.waiting:
-            return
-        other = [i for i, w in enumerate(self.waiting) if isinstance(w, str)]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([self.waiting[i] for i in other], add_special_tokens=False), strict=True):
-            self.waiting[i] = e.ids
-        n = len(self.waiting)
-        lengths = np.fromiter(map(len, self.waiting), np.int64, n)
-        total = int(lengths.sum())
+        self._add_lists({}, [""], [[]])  # _UNSAFE
+        #: hashes of words, sorted, and their numbers
+        self.keys, self.number_of = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def _pieces(self, texts: list[str], lead: str) -> list[list[int]]:
+        """Ids of texts of letters, each of which the tokenizer's pattern takes as one piece, after the same lead."""
+        spelt = "\n".join(texts).encode().decode("latin-1").translate(_BYTES).split(_BYTES[ord("\n")]) if texts else []
+        lead = lead.translate(_BYTES)
+        return [[t.id for t in self.model.tokenize(lead + x)] for x in spelt]
+
+    def _add(self, to: dict[str, int], words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        n, total = len(words), len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while self.known + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(self.waiting), np.uint16, total)
+        self.pool[self.used : self.used + total] = ids
         self.length[self.known : self.known + n] = lengths
         self.start[self.known : self.known + n] = self.used + np.cumsum(lengths) - lengths
-        self.used, self.known, self.waiting = self.used + total, self.known + n, []
+        to.update(zip(words, range(self.known, self.known + n), strict=True))
+        self.used, self.known = self.used + total, self.known + n
+
+    def _add_lists(self, to: dict[str, int], words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(to, words, lengths, np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum())))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _add_pairs(self, to: dict[str, int], words: list[str], a: list[int], b: list[int]) -> None:
+        """Words whose ids are those of two known ones."""
+        both = np.array([a, b], np.int64).reshape(2, -1).T.ravel()
+        self._add(to, words, self.length[both].reshape(-1, 2).sum(1), self._ids_of(both))
+
+    def _ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.length[numbers]
+        ahead = np.cumsum(lengths) - lengths
+        return self.pool[np.repeat(self.start[numbers] - ahead, lengths) + np.arange(int(lengths.sum()))]
+
+    def _encode(self, to: dict[str, int], words: list[str], lead: str = "") -> None:
+        """Any text, by the tokenizer itself."""
+        self._add_lists(to, words, [e.ids for e in self.tokenizer.encode_batch_fast([lead + w for w in words], add_special_tokens=False)])
+
+    def _learn(self, words: Iterable[str], to: dict[str, int], lead: str) -> None:
+        """Numbers for the new ones of words that stand after lead. Letters are a piece for the tokenizer's pattern, and so are
+        the signs after them: both are encoded apart, and words with signs are put together of them."""
+        new = sorted(set(words).difference(to))
+        lines, bare, letters, signed, other = [], [], [], [], []
+        for word in new:
+            if simple := _SIMPLE.fullmatch(word):
+                if simple[2]:
+                    signed.append((word, simple[1], simple[2]))
+                letters.append(simple[1])
+            elif lead and word[:1] == "\n" and word[1:2] not in _SPACE:
+                lines.append(word)
+            elif not word or lead and word[0] in _SPACE:
+                bare.append(word)
+            else:
+                other.append(word)
+        letters = sorted(set(letters).difference(to))
+        self._add_lists(to, letters, self._pieces(letters, lead))
+        signs = sorted({"\n", *(x[2] for x in signed)}.difference(self.parts))
+        self._encode(self.parts, signs)
+        self._add_pairs(to, [x[0] for x in signed], [to[x[1]] for x in signed], [self.parts[x[2]] for x in signed])
+        if lines:
+            self._learn([w[1:] for w in lines], self.first, "")
+            self._add_pairs(to, lines, [self.parts["\n"]] * len(lines), [self.first[w[1:]] for w in lines])
+        self._encode(to, other, lead)
+        if lead:
+            to.update(dict.fromkeys(bare, _UNSAFE))
+        else:
+            self._add_lists(to, bare, [[]] * len(bare))
+
+    def _numbers(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, and how many each text has.
+
+        Words go by a 64-bit hash of their bytes and of what stands before them, so only those that are new ever become
+        strings. A word of over LONG bytes has its place for a hash, so it is never taken for another.
+        """
+        n = len(ends) - 1
+        text_at = ends[:-1] + np.arange(n)  # of the separator before each text
+        bytes_ = np.full(len(raw) + n + 1, 32, np.uint8)
+        bytes_[1 + np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(ends))] = raw
+        apart = (bytes_ == 32) | (bytes_ == 10)
+        edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+        starts, stops = edge[::2], edge[1::2]
+        before = bytes_[starts - 1].astype(np.uint64)
+        bounds = np.searchsorted(starts, np.append(text_at + 1, len(bytes_)))
+        sizes = np.diff(bounds)
+        heads = np.flatnonzero(np.isin(starts, text_at + 1))
+        before[heads] = 0
+        long = np.flatnonzero(stops - starts > LONG)
+        keys = spans_hashed(bytes_, starts, stops) ^ mix(before + np.uint64(1))
+        keys[long] = mix(starts[long].astype(np.uint64) + np.uint64(1 << 40))
+        new_key, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, new_key)
+        known = self.keys[np.minimum(place, len(self.keys) - 1)] == new_key if len(self.keys) else np.zeros(len(new_key), bool)
+        number = np.empty(len(new_key), np.int64)
+        number[known] = self.number_of[place[known]]
+        fresh = np.flatnonzero(~known)
+        words = [bytes_[i:j].tobytes().decode() for i, j in zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist(), strict=True)]
+        lead = before[first[fresh]].tolist()
+        words = ["\n" + w if k == 10 else w for w, k in zip(words, lead, strict=True)]
+        self._learn((w for w, k in zip(words, lead, strict=True) if not k), self.first, "")
+        self._learn((w for w, k in zip(words, lead, strict=True) if k), self.later, " ")
+        number[fresh] = [(self.later if k else self.first)[w] for w, k in zip(words, lead, strict=True)]
+        kept = ~np.isin(new_key[fresh], keys[long])
+        added, at = new_key[fresh][kept], place[fresh][kept]
+        self.keys, self.number_of = np.insert(self.keys, at, added), np.insert(self.number_of, at, number[fresh][kept])
+        numbers = number[inverse]
+        # White space beside white space, or at a text's end, is cut by a slower rule.
+        real = apart.copy()
+        real[text_at] = real[-1] = False
+        pairs = np.flatnonzero(real[:-1] & apart[1:])
+        unsafe = np.union1d(np.searchsorted(text_at, pairs, side="right") - 1, np.repeat(np.arange(n), sizes)[numbers == _UNSAFE]).astype(np.int64)
+        if not len(unsafe):
+            return numbers, sizes
+        per = np.split(numbers, bounds[1:-1])
+        for i in unsafe.tolist():
+            parts = _RUNS.findall(raw[ends[i] : ends[i + 1]].tobytes().decode())
+            self._encode(self.parts, sorted(set(parts).difference(self.parts)))
+            per[i] = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        return np.concatenate(per), np.array(list(map(len, per)), np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END_ID, and the number of ids of each."""
         if self.known > KEPT:
             self.reset()
-        numbers, sizes = [], []
-        for text in texts:
-            head, *rest = (text or "").split(" ")
-            own = [self.first[head], *map(self.later.__getitem__, rest)] if text else []
-            if self.unsafe and not self.unsafe.isdisjoint(own):
-                own = list(map(self.cut.__getitem__, _RUNS.findall(text)))
-            numbers += own
-            sizes.append(len(own))
-        self._encode_waiting()
-        at, sizes = np.array(numbers, np.int64), np.array(sizes, np.int64)
+        at, sizes = self._numbers(*utf8(texts))
         lengths = self.length[at]
         per_text = np.add.reduceat(np.append(lengths, 0), np.minimum(np.cumsum(sizes) - sizes, len(lengths))) * (sizes > 0) if len(sizes) else sizes
-        # Places of the words' ids, one more left free after each text.
-        ahead = np.cumsum(lengths) - lengths
-        flat = self.pool[np.repeat(self.start[at] - ahead, lengths) + np.arange(int(lengths.sum()))]
+        flat = self._ids_of(at)
         out = np.full(len(flat) + len(sizes), END_ID, np.uint16)
         out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), per_text)] = flat
         return out, per_text + 1
@@ -147,37 +219,40 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _put(uri: str, content: bytes) -> None:
+def _store(uri: str):
+    """The file system of a URI of Spark's, and the path in it."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
-    aside = f"{path}.{uuid4().hex}"
-    with store.open_output_stream(aside) as out:
-        out.write(content)
-    store.move(aside, path)
+    return fs.FileSystem.from_uri(portable(uri))
+
+
+def portable(uri: str) -> str:
+    """Schemes that only Hadoop has for a store that others name too."""
+    scheme, apart, rest = uri.partition("://")
+    return {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(scheme, scheme) + apart + rest
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards; one row per file: part, seq, path, n_docs, n_tokens. docs' ids are integers."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part, attempt = encoder(tokenizer), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         held, seq = [], 0
 
         def flush() -> pa.RecordBatch:
             ids, tokens, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            name = f"{folder}/shard-{part:06d}-{seq:04d}.wm"
-            _put(name, wavelet.dumps(tokens, ids, np.cumsum(sizes)))
+            name = f"{folder}/shard-{part:06d}-{seq:04d}-{attempt}.wm"
+            store, path = _store(name)
+            with store.open_output_stream(path) as out:
+                wavelet.write(out, tokens, ids, np.cumsum(sizes))
             values = ([part], [seq], [name], [len(ids)], [len(tokens)])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "seq", "path", "n_docs", "n_tokens"])
 
         for batch in pieces(batches):
             ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens, sizes = encode.encode(batch.column("text").to_pylist())
+            tokens, sizes = encode.encode(batch.column("text"))
             if held and sum(len(h[1]) for h in held) + len(tokens) > SHARD_TOKENS:
                 yield flush()
                 held, seq = [], seq + 1
@@ -187,7 +262,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = slim.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return materialize(ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"))
+    shards = materialize(ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"))
+    _clear(folder, shards)
+    return shards
+
+
+def _clear(folder: str, shards: DataFrame) -> None:
+    """Deletes what attempts of tasks have left that were lost or came second. One name per file comes to the driver."""
+    from pyarrow import fs
+
+    store, path = _store(folder)
+    named = {r["path"].rpartition("/")[2] for r in shards.select("path").toLocalIterator()}
+    for file in store.get_file_info(fs.FileSelector(path)):
+        if file.base_name.endswith(".wm") and file.base_name not in named:
+            store.delete_file(file.path)
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -196,17 +284,16 @@ def read(shards: DataFrame) -> DataFrame:
     placed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = _store(path)
                 with store.open_input_file(at) as file:
                     shard = wavelet.Reader(file)
                     tokens = shard.tokens()
                 ends = np.asarray(shard.ends)
                 starts = ends - np.diff(ends, prepend=0)
-                crcs = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                raw = memoryview(tokens.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(starts + start), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     # By number, since the planner would put the few rows into one task.
@@ -217,6 +304,6 @@ def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    folder = f"{shared_dir(spark)}/tokens-{uuid4().hex}"
+    folder = new_folder(spark, "tokens")
     shards = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer)
     return read(shards).withColumnRenamed("id", "doc_id")

@@ -21,6 +21,19 @@ import zstandard
 MAGIC = b"MRWVMTX1"
 BLOCK = 8192
 _PER = BLOCK * 8
+_PART = 1 << 15
+
+
+def _by_bit(values: np.ndarray, plane: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values whose bit is 0, then the others, each in order, and all bits, packed. Done in parts that stay in the cache."""
+    mask, zeros, ones, packed = values.dtype.type(1 << plane), [], [], []
+    for i in range(0, len(values), _PART):
+        part = values[i : i + _PART]
+        bit = (part & mask) != 0
+        packed.append(np.packbits(bit, bitorder="little"))
+        ones.append(part.take(np.flatnonzero(bit)))
+        zeros.append(part.take(np.flatnonzero(~bit)))
+    return np.concatenate([values[:0], *zeros, *ones]), np.concatenate([np.empty(0, np.uint8), *packed])
 
 
 def write(out: BinaryIO, tokens: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, bits: int = 16) -> None:
@@ -28,8 +41,7 @@ def write(out: BinaryIO, tokens: np.ndarray, doc_ids: np.ndarray, ends: np.ndarr
     zip_ = zstandard.ZstdCompressor(level=1).compress
     values, blocks, index, zeros, at = tokens, [], [], [], 0
     for plane in range(bits - 1, -1, -1):
-        bit = (values >> np.array(plane, values.dtype)) & np.array(1, values.dtype) != 0
-        packed = np.packbits(bit, bitorder="little")
+        values, packed = _by_bit(values, plane)
         ones = np.bitwise_count(packed)
         before = 0
         for i in range(0, len(packed), BLOCK):
@@ -43,7 +55,6 @@ def write(out: BinaryIO, tokens: np.ndarray, doc_ids: np.ndarray, ends: np.ndarr
             before += int(ones[i : i + BLOCK].sum(dtype=np.int64))
         index += [at, before]
         zeros.append(len(values) - before)
-        values = np.concatenate([values[~bit], values[bit]])
     tables = [zip_(np.asarray(t, np.int64).tobytes()) for t in (doc_ids, ends, zeros, index)]
     out.write(MAGIC)
     out.write(np.array([len(tokens), len(doc_ids), bits, *map(len, tables)], np.int64).tobytes())
@@ -145,10 +156,16 @@ class Reader:
             edges = self.index[plane, :, 0]
             self.file.seek(self.base + int(edges[0]))
             raw = self.file.read(int(edges[-1] - edges[0]))
-            bit = np.concatenate([self._bits(plane, k, raw[edges[k] - edges[0] : edges[k + 1] - edges[0]]) for k in range(len(edges) - 1)] or [np.empty(0, np.uint8)]).view(bool)
-            z, up = int(self.zeros[plane]), np.empty_like(values)
-            up[~bit] = values[:z]
-            up[bit] = values[z:] | values.dtype.type(1 << (self.bits - 1 - plane))
+            zero, one, up = 0, int(self.zeros[plane]), np.empty_like(values)
+            mask = values.dtype.type(1 << (self.bits - 1 - plane))
+            for k in range(len(edges) - 1):
+                bit = self._bits(plane, k, raw[edges[k] - edges[0] : edges[k + 1] - edges[0]])
+                for i in range(0, len(bit), _PART):
+                    part, to = bit[i : i + _PART].view(bool), up[k * _PER + i :][: min(_PART, len(bit) - i)]
+                    ones, others = np.flatnonzero(part), np.flatnonzero(~part)
+                    to[ones] = values[one : one + len(ones)] | mask
+                    to[others] = values[zero : zero + len(others)]
+                    one, zero = one + len(ones), zero + len(others)
             values = up
         return values
 
