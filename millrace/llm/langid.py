@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.arrow import pieces
+from millrace.llm.arrow import pieces, small_batches
 from millrace.llm.native import quoted
 
 DIM = 1024
@@ -124,7 +124,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     summed = rows.mapInArrow(_learn, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     sums: dict[str, np.ndarray] = {}
-    for r in summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).collect():
+    with small_batches(labelled.sparkSession):
+        found = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).collect()
+    for r in found:
         v = np.array([x["value"] for x in r["v"]], np.float64)
         if norm := np.linalg.norm(v):
             sums[r["lang"]] = v / norm
