@@ -10,14 +10,17 @@ times its part of the occurrences of that id's words in the corpus, by a count o
 more stands for all words never seen, dealt evenly to the 64-bit hashes, so the probabilities of all words add up to 1 too.
 Counts of up to FREQUENT words go to every worker; the rest stay a distributed table, which rare words are joined with.
 
-The network is trained in numpy on all documents: in each round every task starts from the last round's
-network, passes once over its own documents with some of their words masked, and the networks are averaged by words; after the last
-round every word of every document was masked once. Parameters are averaged as integers, so the result does not depend on
-the order of tasks.
-
-Edge cases: null, empty and blank texts have no words: log_prob 0, mean null; a word without neighbours is predicted from
-padding alone; repeated rows are trained on and scored as often as they come; an empty table gives no rows; other columns
-are ignored, whatever their names.
+The network starts from the frequencies of the ids, so before any training it scores as they do, and is trained in numpy on
+every word of every document in each round. Documents are turned into ids once and dealt by a hash of id and text to units
+of about UNIT words, so a unit is the same whatever the files or tasks. In each round every unit starts from the last
+round's network and goes once over its own words; networks and the optimizer's sums are averaged by words, as integers. So
+the result depends neither on the order of tasks nor on how the input is split.
+
+Edge cases: null, empty and blank texts have no words: log_prob 0, mean null; a text of any length is scored in one piece, and
+one longer than a unit is a unit of its own; a word without neighbours is predicted from padding alone; words of equal
+frequency have ids by their hash; repeated rows are trained on and scored as often as they come, and copies without an id
+share a unit's key and fill as many units as they need; an empty table gives no rows, and the untrained network; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,21 +34,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import pieces, utf8
+from millrace.llm.native import quoted
 from millrace.llm.shingles import mix, word_hashes
-from millrace.session import materialize
+from millrace.session import discard, materialize
 
 WINDOW = 2
 CLASSES = MEMBERS = 64
 DIM = 16
-#: Every round masks an equal part of each document's words, so that all together mask each word once; scoring masks every word in turn.
+#: Passes over all documents; each masks every word in turn.
 ROUNDS = 2
-RATE = 0.08
+RATE = np.float32(0.12)
 BATCH = 8192
 #: Words that go through the network at once; their arrays stay in the CPU's cache.
 CHUNK = 1024
 PIECE = 1 << 20
-#: Tasks that train at once; more input makes each longer, not the average larger.
-TRAINERS = 4096
+#: Words of the documents that one network is trained on between averages.
+UNIT = 1 << 22
+#: Words of a unit whose neighbours are laid out at once.
+LAID = 1 << 18
+#: Ranges of parameters that are added up apart.
+RANGES = 16
 OWN = 2048
 #: Words with counts that every worker holds, 16 bytes each.
 FREQUENT = 1 << 18
@@ -54,6 +62,8 @@ COUNTED = 1 << 22
 #: Logarithms of counts are summed as integers, so the order of rows doesn't matter.
 _FINE = 1 << 24
 _SCALE = 1 << 16
+#: Words that count as one when networks are averaged.
+_WEIGHED = 1 << 10
 _IDS = CLASSES * MEMBERS
 _PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 _NO_WORDS = np.empty(0, np.uint64)
@@ -68,11 +78,17 @@ class Vocabulary:
     #: sorted hashes
     frequent: np.ndarray
     n: np.ndarray
-    #: sorted hashes of the words with an id of their own, a part of `frequent`
+    #: hashes of the words with an id of their own, a part of `frequent`, the most frequent first: their place is their id
     own: np.ndarray
     #: by id, the occurrences of the words that share it; 0 where it is a word's own
     totals: np.ndarray
 
+    def per_id(self) -> np.ndarray:
+        """The occurrences of every id."""
+        out = self.totals.copy()
+        out[: len(self.own)] += self.n[_found(self.own, self.frequent)[0]]
+        return out
+
 
 class Network:
     """Parameters as one vector with named views; id _IDS is padding, whose vector is trained too."""
@@ -88,7 +104,8 @@ class Network:
         "member_bias": (MEMBERS,),
     }
 
-    def __init__(self, flat: np.ndarray | None = None) -> None:
+    def __init__(self, flat: np.ndarray | None = None, counts: np.ndarray | None = None) -> None:
+        """Without parameters, those of a network not trained yet. counts: the ids' occurrences, which it starts from."""
         sizes = {k: int(np.prod(s)) for k, s in self.SHAPES.items()}
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.1, sum(sizes.values()))
@@ -97,53 +114,89 @@ class Network:
         for name, n in sizes.items():
             setattr(self, name, self.flat[at : at + n].reshape(self.SHAPES[name]))
             at += n
+        if counts is not None:
+            n = (counts + 1.0).reshape(CLASSES, MEMBERS)
+            self.hidden_bias[:] = 0
+            self.class_bias[:] = np.log(n.sum(1) / n.sum())
+            self.member_bias[:], self.class_vectors[:], self.member_weights[:] = _factored(np.log(n / n.sum(1, keepdims=True)))
+
+    def _hidden(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of all of a stretch, and the hidden layer of its words."""
+        seen = self.vectors.take(padded, 0)
+        total = np.zeros((len(padded) - 2 * WINDOW, DIM), np.float32)
+        for k, place in zip(_PLACES, self.places, strict=True):
+            total += seen[WINDOW + k : len(padded) - WINDOW + k] * place
+        return seen, np.tanh(total.take(at - WINDOW, 0) + self.hidden_bias)
+
+    def forward(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability of each word's id from its neighbours. padded: ids in order, padding around every text; at: where the words are."""
+        ids, hidden = padded[at], self._hidden(padded, at)[1]
+        cls, member = ids // MEMBERS, ids % MEMBERS
+        return _log_of(_logits(hidden, self.class_weights, self.class_bias), cls) + _log_of(_logits(hidden + self.class_vectors[cls], self.member_weights, self.member_bias), member)
 
-    def forward(self, near: np.ndarray, ids: np.ndarray) -> tuple:
-        """near: ids of the neighbours, a row per word. Log probability of each word's id, and what training needs."""
-        seen = self.vectors[near]
-        hidden = np.tanh(np.einsum("nkd,kd->nd", seen, self.places) + self.hidden_bias)
+    def gradient(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Gradient of the mean negative log probability of the words."""
+        g, scale = Network(np.zeros_like(self.flat)), np.float32(1 / len(at))
+        ids = padded[at]
         cls, member = ids // MEMBERS, ids % MEMBERS
-        log_c = _log_softmax(hidden, self.class_weights, self.class_bias)
-        inner = hidden + self.class_vectors[cls]
-        log_m = _log_softmax(inner, self.member_weights, self.member_bias)
-        rows = np.arange(len(ids))
-        return log_c[rows, cls] + log_m[rows, member], seen, hidden, inner, log_c, log_m, cls, member
-
-    def gradient(self, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Gradient of the mean negative log probability."""
-        n, g = len(ids), Network(np.zeros_like(self.flat))
-        d, d_inner = np.empty((n, DIM), np.float32), np.empty((n, DIM), np.float32)
-        for i in range(0, n, CHUNK):
+        seen, hidden = self._hidden(padded, at)
+        d = np.empty_like(hidden)
+        d_inner = np.empty_like(hidden)
+        for i in range(0, len(at), CHUNK):
             part = slice(i, i + CHUNK)
-            _, seen, hidden, inner, log_c, log_m, cls, member = self.forward(near[part], ids[part])
-            rows, dc, dm = np.arange(len(cls)), np.exp(log_c), np.exp(log_m)
-            dc[rows, cls] -= 1
-            dm[rows, member] -= 1
-            dc, dm = dc / n, dm / n
-            g.class_weights += hidden.T @ dc
-            g.class_bias += dc.sum(0)
-            g.member_weights += inner.T @ dm
-            g.member_bias += dm.sum(0)
-            d_inner[part] = dm @ self.member_weights.T
-            d[part] = (dc @ self.class_weights.T + d_inner[part]) * (1 - hidden * hidden)
-            g.places += np.einsum("nkd,nd->kd", seen, d[part])
-        g.class_vectors[:] = _summed(ids // MEMBERS, d_inner.T, CLASSES)
+            inner = hidden[part] + self.class_vectors[cls[part]]
+            dc = _missed(_logits(hidden[part], self.class_weights, self.class_bias), cls[part], scale)
+            dm = _missed(_logits(inner, self.member_weights, self.member_bias), member[part], scale)
+            g.class_weights += (dc @ hidden[part]).T
+            g.class_bias += dc.sum(1)
+            g.member_weights += (dm @ inner).T
+            g.member_bias += dm.sum(1)
+            d_inner[part] = (self.member_weights @ dm).T
+            d[part] = (self.class_weights @ dc).T + d_inner[part]
+        d *= 1 - hidden * hidden
+        g.class_vectors[:] = _summed(cls, d_inner, CLASSES)
         g.hidden_bias[:] = d.sum(0)
-        g.vectors[:] = _summed(near.ravel(), ((c[:, None] * p).ravel() for c, p in zip(d.T, self.places.T, strict=True)), _IDS + 1)
+        # A word is the neighbour of those around it: what they ask of its vector is put together before it is summed by id.
+        asked, of_word = np.zeros((len(padded) - 2 * WINDOW, DIM), np.float32), np.zeros_like(seen)
+        asked[at - WINDOW] = d
+        for j, k in enumerate(_PLACES):
+            near = slice(WINDOW + k, len(padded) - WINDOW + k)
+            of_word[near] += asked * self.places[j]
+            g.places[j] = np.einsum("nd,nd->d", seen[near], asked)
+        g.vectors[:] = _summed(padded, of_word, _IDS + 1)
         return g.flat
 
 
-def _log_softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Computed as columns, along which numpy takes maxima and sums much faster."""
+def _factored(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mean row, and a vector for each row and weights whose products are what the rows have beyond it, by as
+    many directions as there are. Ids come by frequency, so few do."""
+    left, scale, right = np.linalg.svd(table - table.mean(0), full_matrices=False)
+    return table.mean(0), left[:, :DIM] * np.sqrt(scale[:DIM]), np.sqrt(scale[:DIM])[:, None] * right[:DIM]
+
+
+def _logits(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A column per row, less its maximum: numpy goes along columns much faster."""
     x = weights.T @ rows.T
     x += bias[:, None]
     x -= x.max(0)
-    x -= np.log(np.exp(x).sum(0))
-    return x.T
+    return x
+
+
+def _log_of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    own = logits[at, np.arange(len(at))]
+    return own - np.log(np.exp(logits, out=logits).sum(0))
+
 
+def _missed(logits: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Probabilities less 1 where the word is, times scale."""
+    p = np.exp(logits, out=logits)
+    p *= scale / p.sum(0)
+    p[at, np.arange(len(at))] -= scale
+    return p
 
-def _summed(at: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, column, n) for column in columns], 1)
+
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, column, n) for column in np.ascontiguousarray(rows.T)], 1)
 
 
 def _found(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,23 +212,25 @@ def _shared(h: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _ids(h: np.ndarray, own: np.ndarray) -> np.ndarray:
-    at, known = _found(h, own)
-    return np.where(known, at, _shared(h, own))
+    order = np.argsort(own)
+    at, known = _found(h, own[order])
+    return np.where(known, order[at] if len(own) else at, _shared(h, own))
 
 
-def masked(raw: np.ndarray, ends: np.ndarray, own: np.ndarray = _NO_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words, their neighbours' ids (padding beyond a text's ends), and the number of words of each text."""
-    h, counts = word_hashes(raw, ends)
-    ids = _ids(h, own)
-    return ids, _near(ids, counts), counts
+def padded_ids(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of texts of so many words in order, with padding before, between and after them, and where the words are."""
+    out = np.full(len(ids) + WINDOW * (len(counts) + 1), _IDS, np.int64)
+    at = np.arange(len(ids)) + WINDOW * (1 + np.repeat(np.arange(len(counts)), counts))
+    out[at] = ids
+    return out, at
 
 
-def _near(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    n = len(counts)
-    padded = np.full(len(ids) + WINDOW * (n + 1), _IDS, np.int64)
-    at = np.arange(len(ids)) + WINDOW * (1 + np.repeat(np.arange(n), counts))
-    padded[at] = ids
-    return padded[at[:, None] + np.array(_PLACES)]
+def _stretches(padded: np.ndarray, at: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words in turn, so many at once, with their neighbours."""
+    for i in range(0, len(at), words):
+        part = at[i : i + words]
+        low = part[0] - WINDOW
+        yield padded[low : part[-1] + WINDOW + 1], part - low
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +250,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, own: int = OWN) -> Vocabulary:
     """Counts every word. The driver gets at most `frequent` of them, and sums of fixed number."""
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(text_col)).alias("text"))
     counts = materialize(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     levels = counts.groupBy(F.floor(8 * F.log2("n"))).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
     least, left = None, frequent
@@ -210,7 +265,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT
     words = words.view(np.uint64)
     order = np.argsort(words)
     words, n = words[order], n[order]
-    top = np.sort(words[np.lexsort((words, -n))[:own]])
+    top = words[np.lexsort((words, -n))[:own]]
     shared = F.lit(len(top)) + F.shiftrightunsigned("word", 33) % (_IDS - len(top))
     totals = np.zeros(_IDS, np.int64)
     for row in counts.groupBy(shared.alias("id")).agg(F.sum("n").alias("n")).collect():
@@ -219,48 +274,121 @@ def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT
     return Vocabulary(counts.where(~often), words, n, top, totals)
 
 
-def _train(flat, turn: int, rounds: int, own):
+def _encoded(own):
+    """deal, n_words and 16-bit ids of every document that has words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words = Network(flat.value), 0
-        power = np.full(len(net.flat), 1e-6, np.float32)
         for batch in pieces(batches, limit=PIECE):
-            ids, near, counts = masked(*utf8(batch.column("text")), own.value)
-            place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-            chosen = place % rounds == turn
-            ids, near = ids[chosen], near[chosen]
-            for i in range(0, len(ids), BATCH):
-                g = net.gradient(near[i : i + BATCH], ids[i : i + BATCH])
-                power += g * g
-                net.flat -= RATE * g / np.sqrt(power)
-            words += len(ids)
-        if words:
-            values = np.rint(net.flat.astype(np.float64) * _SCALE).astype(np.int64) * words
-            dims = np.arange(len(values) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(np.append(values, words))], ["dim", "value"])
+            h, counts = word_hashes(*utf8(batch.column("text")))
+            ids, ends = _ids(h, own.value).astype("<u2"), np.cumsum(counts)
+            parts = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            rows = pa.RecordBatch.from_arrays([batch.column("deal"), pa.array(parts, pa.binary())], ["deal", "ids"])
+            yield rows.filter(pa.array(counts > 0))
 
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, own: np.ndarray = _NO_WORDS) -> np.ndarray:
-    """Parameters, of a fixed number, after the given rounds over all documents. own: words with an id of their own."""
-    sc, flat = docs.sparkSession.sparkContext, Network().flat
-    own = sc.broadcast(own)
-    texts = docs.select(F.col(text_col).alias("text"))
-    if texts.rdd.getNumPartitions() > TRAINERS:
-        texts = texts.coalesce(TRAINERS)
-    for turn in range(rounds):
-        rows = texts.mapInArrow(_train(sc.broadcast(flat), turn, rounds, own), "dim int, value long").groupBy("dim").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
-        if not rows:
-            return flat
-        total = np.empty(len(rows))
-        for dim, value in rows:
-            total[dim] = float(value)
-        flat = (total[:-1] / total[-1] / _SCALE).astype(np.float32)
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit: one row for the documents of a unit, or more where they have over UNIT words twice."""
+
+    def out() -> pa.RecordBatch:
+        counts = np.array([len(x) // 2 for x in held], "<i4")
+        return pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], ["counts", "ids"])
+
+    unit, held, words = None, [], 0
+    for batch in batches:
+        for k, ids in zip(batch.column("unit").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            if held and (k != unit or words + len(ids) // 2 > 2 * UNIT):
+                yield out()
+                held, words = [], 0
+            unit, words = k, words + len(ids) // 2
+            held.append(ids)
+    if held:
+        yield out()
+
+
+def dealt(docs: DataFrame, own: np.ndarray, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(counts, ids): a row for each unit. words: how many docs have in all."""
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col))).alias("deal"), F.col(quoted(text_col)).alias("text"))
+    rows = rows.where("text IS NOT NULL").mapInArrow(_encoded(sc.broadcast(own)), "deal long, ids binary")
+    units = max(1, round(words / UNIT))
+    rows = rows.withColumn("unit", F.pmod("deal", F.lit(units)))
+    return materialize(rows.repartition("unit").sortWithinPartitions("unit", "deal", "ids").mapInArrow(_units, "counts binary, ids binary"))
+
+
+def learn_unit(flat: np.ndarray, power: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Network and optimizer's sums after one pass over the documents of a unit, every word masked once."""
+    net, power, step = Network(flat.copy()), power.copy(), np.empty_like(flat)
+    ends = np.cumsum(counts)
+    cuts = np.flatnonzero(np.diff(ends // LAID)) + 1
+    for part in np.split(np.arange(len(counts)), cuts):
+        here = ids[ends[part[0]] - counts[part[0]] : ends[part[-1]]].astype(np.int64)
+        for stretch in _stretches(*padded_ids(here, counts[part]), BATCH):
+            g = net.gradient(*stretch)
+            np.multiply(g, g, out=step)
+            power += step
+            np.sqrt(power, out=step)
+            np.divide(g, step, out=step)
+            step *= RATE
+            net.flat -= step
+    return net.flat, power
+
+
+def _train(shared):
+    """Sums of networks and of the roots of optimizers' sums, weighed by words, and of the weights, over the units of a task, in ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, power = shared.value
+        total = np.zeros(2 * len(flat) + 1, np.int64)
+        for batch in batches:
+            for counts, ids in zip(batch.column("counts"), batch.column("ids"), strict=True):
+                counts, ids = np.frombuffer(counts.as_buffer(), "<i4").astype(np.int64), np.frombuffer(ids.as_buffer(), "<u2")
+                weight = -(-len(ids) // _WEIGHED)
+                net, sums = learn_unit(flat, power, ids, counts)
+                learned = np.concatenate([net.astype(np.float64) * _SCALE, np.sqrt(sums, dtype=np.float64) * _FINE])
+                total[:-1] += np.rint(learned).astype(np.int64) * weight
+                total[-1] += weight
+        if total[-1]:
+            for at, part in enumerate(np.array_split(total, RANGES)):
+                yield _numbers(at, part)
+
+    return run
+
+
+def _numbers(at: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["at", "numbers"])
+
+
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, raw in zip(batch.column("at").to_pylist(), batch.column("numbers"), strict=True):
+            total[at] = total.get(at, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+    for at, values in total.items():
+        yield _numbers(at, values)
+
+
+def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters, of a fixed number, after the given rounds over all documents. RANGES rows a round come to the driver."""
+    sc, counts = docs.sparkSession.sparkContext, words.per_id()
+    flat = Network(counts=counts).flat
+    power = np.full(len(flat), 1e-6, np.float32)
+    units = dealt(docs, words.own, int(counts.sum()), id_col, text_col)
+    for _ in range(rounds):
+        parts = units.mapInArrow(_train(sc.broadcast((flat, power))), "at int, numbers binary").repartition("at").mapInArrow(_summed_up, "at int, numbers binary")
+        found = {r["at"]: np.frombuffer(bytes(r["numbers"]), np.int64) for r in parts.collect()}
+        if not found:
+            break
+        total = np.concatenate([found[at] for at in range(RANGES)])
+        net, sums = np.split(total[:-1] / total[-1], 2)
+        flat, power = (net / _SCALE).astype(np.float32), np.square(sums / _FINE).astype(np.float32)
+    discard(units)
     return flat
 
 
-def _logs(net: Network, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.float32), *(net.forward(near[i : i + CHUNK], ids[i : i + CHUNK])[0] for i in range(0, len(ids), CHUNK))])
+def _logs(net: Network, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.float32), *(net.forward(*x) for x in _stretches(*padded_ids(ids, counts), CHUNK))])
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -272,13 +400,13 @@ def score(docs: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text_col: s
     """id, n_words, log_prob (sum over all words) and mean_log_prob of every document. Without words, ids are scored alone."""
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     shared = sc.broadcast(flat)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("node"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.monotonically_increasing_id().alias("node"))
 
     def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value)
         for batch in pieces(batches, limit=PIECE):
-            ids, near, counts = masked(*utf8(batch.column("text")))
-            total = _sums(_logs(net, ids, near), counts)
+            h, counts = word_hashes(*utf8(batch.column("text")))
+            total = _sums(_logs(net, _ids(h, _NO_WORDS), counts), counts)
             mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts.astype(np.int64)), pa.array(total), mean], ["id", "n_words", "log_prob", "mean_log_prob"])
 
@@ -287,17 +415,23 @@ def score(docs: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text_col: s
 
     # A row per document with all but the logarithms of rare words' counts, and a row for each of those words.
     names = ["node", "id", "n_words", "log_prob", "word"]
-    held = sc.broadcast((words.frequent, np.log(words.n), words.own, np.where(np.arange(_IDS) < len(words.own), 0, np.log(words.totals + 1.0))))
+    own_id = np.full(len(words.frequent), -1, np.int64)
+    own_id[_found(words.own, words.frequent)[0]] = np.arange(len(words.own))
+    held = sc.broadcast((words.frequent, np.log(words.n), own_id, len(words.own), np.where(np.arange(_IDS) < len(words.own), 0, np.log(words.totals + 1.0))))
 
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value)
-        frequent, log_n, own, log_total = held.value
+        frequent, log_n, own_id, own, log_total = held.value
         for batch in pieces(batches, limit=PIECE):
             h, counts = word_hashes(*utf8(batch.column("text")))
-            ids = _ids(h, own)
-            at, known = _found(h, frequent)
-            logs = _logs(net, ids, _near(ids, counts)) - log_total[ids]
-            add = known & (ids >= len(own))
+            each, inverse = np.unique(h, return_inverse=True)  # words are looked up once in a piece
+            at, known = (x[inverse] for x in _found(each, frequent))
+            ids = own + ((h >> np.uint64(33)) % np.uint64(_IDS - own)).astype(np.int64)
+            if len(frequent):
+                mine = own_id[at]
+                ids = np.where(known & (mine >= 0), mine, ids)
+            logs = _logs(net, ids, counts) - log_total[ids]
+            add = known & (ids >= own)
             logs[add] += log_n[at[add]]
             node = batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("id"), pa.array(counts.astype(np.int64)), pa.array(_sums(logs, counts)), pa.array(mix(node.astype(np.uint64)).view(np.int64))], names)
@@ -316,4 +450,4 @@ def score(docs: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text_col: s
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = vocabulary(docs)
-    return score(docs, train(docs, own=words.own), words=words).withColumnRenamed("id", "doc_id")
+    return score(docs, train(docs, words), words=words).withColumnRenamed("id", "doc_id")
