@@ -63,6 +63,20 @@ def test_benchmark_leaks_leaves_no_window(spark, tmp_path):
     assert kept == Counter([(1, clean, len(clean)), (None, clean, len(clean)), (2, clean, len(clean)), (4, None, None)])
 
 
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Empty tables, rows without id, repeated rows, null and long texts, ties, and further columns."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumn("unit", F.lit("u")).withColumn("a.b", F.lit(1))
+    odd = spark.createDataFrame([(None, None, None, None, None, "u", 1), (None, "", "en", "s", 0, "u", 1), (7, " ".join(["lorem ipsum dolor"] * 9000), "en", None, 9, "u", 1)], real.schema)
+    table = real.unionByName(real.limit(5)).unionByName(real.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd)
+    for name, docs in (("none", table.limit(0)), ("odd", table)):
+        for stage, run in pipeline.STAGES:
+            run(spark, docs, SF).write.parquet(str(tmp_path / name / stage))
+            before, docs = docs, spark.read.parquet(str(tmp_path / name / stage))
+            assert stage == "shards" or docs.columns == table.columns
+            assert name == "odd" or docs.count() == 0
+        assert docs.count() >= (0 if name == "none" else 30)
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF)
     assert rows.count() > 0 and {"doc_id", "text", "shard"} <= set(rows.columns)
