@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import wavelet
-from millrace.llm.arrow import pieces, utf8
+from millrace.llm.arrow import pieces, small_batches, utf8
 from millrace.llm.shingles import mix, spans_hashed
 from millrace.session import materialize, new_folder
 
@@ -37,6 +37,12 @@ NO_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a worker keeps before it starts over.
 KEPT = 2_000_000
+#: Ids that it keeps before it starts over: words of any length have theirs there, until then.
+KEPT_IDS = 1 << 24
+#: Hashes that are held apart from the others, so that these are not moved for every piece.
+RECENT = 1 << 16
+#: Bytes of text that are encoded at once; the arrays about their words take many times that.
+PIECE = 1 << 20
 #: Bytes of a word that is looked up by its hash.
 LONG = 48
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,6 +67,16 @@ _BYTES = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
 
 #: Number of what stands where white space follows white space.
 _UNSAFE = 0
+#: Kinds of words, by what is before them: nothing, a new line or a space. Then signs after letters, and parts with white space.
+_FIRST, _LINE, _LATER, _SIGNS, _PART = 0, 10, 32, 1, 2
+#: Words that the tokenizer gets at once: what it returns takes far more than ids.
+_AT_ONCE = 1 << 14
+
+
+def _merged(known: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, none of which is in both, and what belongs to them."""
+    place = np.searchsorted(known[0], new[0])
+    return np.insert(known[0], place, new[0]), np.insert(known[1], place, new[1])
 
 
 class Encoder:
@@ -73,15 +89,14 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        #: number of each word after a space, at the beginning of a text or line, and of each part with white space
-        self.later: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
+        """Forgets all words. What is kept of one are numbers in arrays: its hash, where its ids are, and these; never its letters."""
         self.pool, self.used = np.empty(1 << 20, np.uint16), 0
         self.start, self.length, self.known = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
-        self._add_lists({}, [""], [[]])  # _UNSAFE
-        #: hashes of words, sorted, and their numbers
-        self.keys, self.number_of = np.empty(0, np.uint64), np.empty(0, np.int64)
+        #: hashes of words, sorted, and their numbers: of most, of the last ones, and those that this piece adds
+        self.kept = self.recent = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.added: list[tuple[np.ndarray, np.ndarray]] = []
+        self._add([0], np.empty(0, np.uint16))  # _UNSAFE
+        self.line = self._add_lists(self._encode(["\n"])).item()
 
     def _pieces(self, texts: list[str], lead: str) -> list[list[int]]:
         """Ids of texts of letters, each of which the tokenizer's pattern takes as one piece, after the same lead."""
@@ -89,8 +104,13 @@ class Encoder:
         lead = lead.translate(_BYTES)
         return [[t.id for t in self.model.tokenize(lead + x)] for x in spelt]
 
-    def _add(self, to: dict[str, int], words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        n, total = len(words), len(ids)
+    def _encode(self, texts: list[str], lead: str = "") -> list[list[int]]:
+        """Ids of any texts, by the tokenizer itself."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast([lead + x for x in texts], add_special_tokens=False)]
+
+    def _add(self, lengths: np.ndarray | list[int], ids: np.ndarray) -> np.ndarray:
+        """Numbers of new words, whose ids stand one after another."""
+        n, total = len(lengths), len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while self.known + n > len(self.start):
@@ -98,56 +118,81 @@ class Encoder:
         self.pool[self.used : self.used + total] = ids
         self.length[self.known : self.known + n] = lengths
         self.start[self.known : self.known + n] = self.used + np.cumsum(lengths) - lengths
-        to.update(zip(words, range(self.known, self.known + n), strict=True))
         self.used, self.known = self.used + total, self.known + n
+        return np.arange(self.known - n, self.known)
 
-    def _add_lists(self, to: dict[str, int], words: list[str], ids: list[list[int]]) -> None:
+    def _add_lists(self, ids: list[list[int]]) -> np.ndarray:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._add(to, words, lengths, np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum())))
+        return self._add(lengths, np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum())))
 
-    def _add_pairs(self, to: dict[str, int], words: list[str], a: list[int], b: list[int]) -> None:
+    def _add_pairs(self, a: list[int], b: list[int]) -> np.ndarray:
         """Words whose ids are those of two known ones."""
         both = np.array([a, b], np.int64).reshape(2, -1).T.ravel()
-        self._add(to, words, self.length[both].reshape(-1, 2).sum(1), self._ids_of(both))
+        return self._add(self.length[both].reshape(-1, 2).sum(1), self._ids_of(both))
 
     def _ids_of(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self.length[numbers]
         ahead = np.cumsum(lengths) - lengths
         return self.pool[np.repeat(self.start[numbers] - ahead, lengths) + np.arange(int(lengths.sum()))]
 
-    def _encode(self, to: dict[str, int], words: list[str], lead: str = "") -> None:
-        """Any text, by the tokenizer itself."""
-        self._add_lists(to, words, [e.ids for e in self.tokenizer.encode_batch_fast([lead + w for w in words], add_special_tokens=False)])
-
-    def _learn(self, words: Iterable[str], to: dict[str, int], lead: str) -> None:
-        """Numbers for the new ones of words that stand after lead. Letters are a piece for the tokenizer's pattern, and so are
-        the signs after them: both are encoded apart, and words with signs are put together of them."""
-        new = sorted(set(words).difference(to))
-        lines, bare, letters, signed, other = [], [], [], [], []
-        for word in new:
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes; -1 for new ones."""
+        found = np.full(len(keys), -1)
+        for known, number_of in (self.kept, self.recent):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                found = np.where(known[place] == keys, number_of[place], found)
+        return found
+
+    def _keep(self) -> None:
+        """Puts what the piece has added among the known hashes; most of them are moved only now and then."""
+        keys, numbers = (np.concatenate(x) for x in zip(*self.added, strict=True))
+        keys, first = np.unique(keys, return_index=True)
+        self.added, self.recent = [], _merged(self.recent, (keys, numbers[first]))
+        if len(self.recent[0]) > RECENT:
+            self.kept, self.recent = _merged(self.kept, self.recent), (keys[:0], numbers[:0])
+
+    def _get(self, words: list[str], kind: int, ids: Callable[[list[str]], list[list[int]]]) -> dict[str, int]:
+        """Numbers of words, all different; ids gives the ids of new ones."""
+        coded = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        stops = np.cumsum(sizes)
+        keys = spans_hashed(np.frombuffer(b"".join(coded), np.uint8), stops - sizes, stops) ^ mix(np.uint64([kind + 1]))
+        numbers = np.where(sizes > LONG, -1, self._look_up(keys))
+        new = np.flatnonzero(numbers < 0)
+        for i in range(0, len(new), _AT_ONCE):
+            part = new[i : i + _AT_ONCE]
+            numbers[part] = self._add_lists(ids([words[k] for k in part.tolist()]))
+        new = new[sizes[new] <= LONG]
+        self.added.append((keys[new], numbers[new]))
+        return dict(zip(words, numbers.tolist(), strict=True))
+
+    def _learn(self, words: list[str], kind: int) -> list[int]:
+        """Numbers for new words of one kind."""
+        if kind == _LINE:
+            lines = [w for w in words if w[0] not in _SPACE]
+            first = self._get_words(lines, _FIRST)
+            found = dict(zip(lines, self._add_pairs([self.line] * len(lines), [first[w] for w in lines]).tolist(), strict=True))
+        else:
+            found = self._get_words([w for w in words if kind == _FIRST or w[0] not in _SPACE], kind)
+        return [found.get(w, _UNSAFE) for w in words]
+
+    def _get_words(self, words: list[str], kind: int) -> dict[str, int]:
+        """Letters are a piece for the tokenizer's pattern, and so are the signs after them: both are encoded apart, and words
+        with signs are put together of them."""
+        lead = " " if kind == _LATER else ""
+        letters, signed, other = {}, [], []
+        for word in dict.fromkeys(words):
             if simple := _SIMPLE.fullmatch(word):
+                letters[simple[1]] = None
                 if simple[2]:
                     signed.append((word, simple[1], simple[2]))
-                letters.append(simple[1])
-            elif lead and word[:1] == "\n" and word[1:2] not in _SPACE:
-                lines.append(word)
-            elif not word or lead and word[0] in _SPACE:
-                bare.append(word)
             else:
                 other.append(word)
-        letters = sorted(set(letters).difference(to))
-        self._add_lists(to, letters, self._pieces(letters, lead))
-        signs = sorted({"\n", *(x[2] for x in signed)}.difference(self.parts))
-        self._encode(self.parts, signs)
-        self._add_pairs(to, [x[0] for x in signed], [to[x[1]] for x in signed], [self.parts[x[2]] for x in signed])
-        if lines:
-            self._learn([w[1:] for w in lines], self.first, "")
-            self._add_pairs(to, lines, [self.parts["\n"]] * len(lines), [self.first[w[1:]] for w in lines])
-        self._encode(to, other, lead)
-        if lead:
-            to.update(dict.fromkeys(bare, _UNSAFE))
-        else:
-            self._add_lists(to, bare, [[]] * len(bare))
+        found = self._get(list(letters), kind, lambda new: self._pieces(new, lead))
+        signs = self._get(list({x[2]: None for x in signed}), _SIGNS, self._encode)
+        pairs = self._add_pairs([found[x[1]] for x in signed], [signs[x[2]] for x in signed])
+        return found | dict(zip((x[0] for x in signed), pairs.tolist(), strict=True)) | self._get(other, kind, lambda new: self._encode(new, lead))
 
     def _numbers(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts, and how many each text has.
@@ -157,8 +202,7 @@ class Encoder:
         """
         n = len(ends) - 1
         text_at = ends[:-1] + np.arange(n)  # of the separator before each text
-        bytes_ = np.full(len(raw) + n + 1, 32, np.uint8)
-        bytes_[1 + np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(ends))] = raw
+        bytes_ = np.insert(raw, ends, 32)
         apart = (bytes_ == 32) | (bytes_ == 10)
         edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1
         starts, stops = edge[::2], edge[1::2]
@@ -171,46 +215,39 @@ class Encoder:
         keys = spans_hashed(bytes_, starts, stops) ^ mix(before + np.uint64(1))
         keys[long] = mix(starts[long].astype(np.uint64) + np.uint64(1 << 40))
         new_key, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, new_key)
-        known = self.keys[np.minimum(place, len(self.keys) - 1)] == new_key if len(self.keys) else np.zeros(len(new_key), bool)
-        number = np.empty(len(new_key), np.int64)
-        number[known] = self.number_of[place[known]]
-        fresh = np.flatnonzero(~known)
-        words = [bytes_[i:j].tobytes().decode() for i, j in zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist(), strict=True)]
-        lead = before[first[fresh]].tolist()
-        words = ["\n" + w if k == 10 else w for w, k in zip(words, lead, strict=True)]
-        self._learn((w for w, k in zip(words, lead, strict=True) if not k), self.first, "")
-        self._learn((w for w, k in zip(words, lead, strict=True) if k), self.later, " ")
-        number[fresh] = [(self.later if k else self.first)[w] for w, k in zip(words, lead, strict=True)]
-        kept = ~np.isin(new_key[fresh], keys[long])
-        added, at = new_key[fresh][kept], place[fresh][kept]
-        self.keys, self.number_of = np.insert(self.keys, at, added), np.insert(self.number_of, at, number[fresh][kept])
+        number = self._look_up(new_key)
+        fresh = np.flatnonzero(number < 0)
+        fresh_kind = before[first[fresh]]
+        for kind in (_FIRST, _LATER, _LINE):
+            own = fresh[fresh_kind == kind]
+            spans = zip(starts[first[own]].tolist(), stops[first[own]].tolist(), strict=True)
+            number[own] = self._learn([bytes_[i:j].tobytes().decode() for i, j in spans], kind)
+        fresh = fresh[~np.isin(new_key[fresh], keys[long])]
+        self.added.append((new_key[fresh], number[fresh]))
         numbers = number[inverse]
         # White space beside white space, or at a text's end, is cut by a slower rule.
         real = apart.copy()
         real[text_at] = real[-1] = False
         pairs = np.flatnonzero(real[:-1] & apart[1:])
         unsafe = np.union1d(np.searchsorted(text_at, pairs, side="right") - 1, np.repeat(np.arange(n), sizes)[numbers == _UNSAFE]).astype(np.int64)
-        if not len(unsafe):
-            return numbers, sizes
-        per = np.split(numbers, bounds[1:-1])
-        for i in unsafe.tolist():
-            parts = _RUNS.findall(raw[ends[i] : ends[i + 1]].tobytes().decode())
-            self._encode(self.parts, sorted(set(parts).difference(self.parts)))
-            per[i] = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
-        return np.concatenate(per), np.array(list(map(len, per)), np.int64)
+        if len(unsafe):
+            cut = [_RUNS.findall(raw[ends[i] : ends[i + 1]].tobytes().decode()) for i in unsafe.tolist()]
+            found = self._get(list(dict.fromkeys(chain.from_iterable(cut))), _PART, self._encode)
+            per = np.split(numbers, bounds[1:-1])
+            for i, parts in zip(unsafe.tolist(), cut, strict=True):
+                per[i] = np.fromiter(map(found.__getitem__, parts), np.int64, len(parts))
+            numbers, sizes = np.concatenate(per), np.array(list(map(len, per)), np.int64)
+        self._keep()
+        return numbers, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END_ID, and the number of ids of each."""
-        if self.known > KEPT:
+        if self.known > KEPT or self.used > KEPT_IDS:
             self.reset()
         at, sizes = self._numbers(*utf8(texts))
         lengths = self.length[at]
         per_text = np.add.reduceat(np.append(lengths, 0), np.minimum(np.cumsum(sizes) - sizes, len(lengths))) * (sizes > 0) if len(sizes) else sizes
-        flat = self._ids_of(at)
-        out = np.full(len(flat) + len(sizes), END_ID, np.uint16)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), per_text)] = flat
-        return out, per_text + 1
+        return np.insert(self._ids_of(at), np.cumsum(per_text), np.uint16(END_ID)), per_text + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -243,6 +280,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
 
         def flush() -> pa.RecordBatch:
             ids, tokens, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             name = f"{folder}/shard-{part:06d}-{seq:04d}-{attempt}.wm"
             store, path = _store(name)
             with store.open_output_stream(path) as out:
@@ -250,19 +288,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             values = ([part], [seq], [name], [len(ids)], [len(tokens)])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "seq", "path", "n_docs", "n_tokens"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             tokens, sizes = encode.encode(batch.column("text"))
             if held and sum(len(h[1]) for h in held) + len(tokens) > SHARD_TOKENS:
                 yield flush()
-                held, seq = [], seq + 1
+                seq += 1
             held.append((ids, tokens, sizes))
         if held:
             yield flush()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = slim.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    shards = materialize(ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"))
+    with small_batches(docs.sparkSession):
+        shards = materialize(ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"))
     _clear(folder, shards)
     return shards
 

@@ -1,5 +1,7 @@
 import io
+import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -320,6 +322,29 @@ def test_cached_words_encode_as_the_tokenizer_does(texts):
     assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
 
+def test_known_words_take_little_memory(tokenizer):
+    encode = token_output.Encoder(tokenizer)
+    words = ["".join(x) for x in itertools.islice(itertools.product("etaoinshrdlu", repeat=5), 100_000)]
+    encode.encode(pa.array(["a text before"]))
+    tracemalloc.start()
+    encode.encode(pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]))
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken < 64 * len(words)
+
+
+def test_long_words_are_forgotten(tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "KEPT_IDS", 1 << 14, raising=False)
+    encode, plain = token_output.Encoder(tokenizer), Tokenizer.from_file(tokenizer)
+    for i in range(40):
+        text = f"one {chr(97 + i % 26) * 3}" + "word" * 2000 + f"{i}x two, one  {i}"
+        ids, _ = encode.encode(pa.array([text]))
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert encode.used < 1 << 15
+
+
 def test_uris_of_hadoop_are_understood():
     assert token_output.portable("s3a://bucket/k") == "s3://bucket/k" and token_output.portable("file:///tmp/x") == "file:///tmp/x"
 
