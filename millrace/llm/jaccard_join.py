@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import pieces, small_batches, utf8
+from millrace.llm.arrow import lean, pieces, small_batches, utf8
 from millrace.llm.graph import components
 from millrace.llm.native import free_name, quoted
 from millrace.llm.shingles import mix, set_id, shingle_sets, shingle_sets_with_cost, word_hashes
@@ -59,7 +59,8 @@ ALL_OF = 16
 PAGE_PART = 1 << 14
 SAMPLED = 64
 SPLIT_PAGES = 4096
-PIECE = 1 << 20
+#: Bytes of text handled at once; arrays over their places take some 40 times that.
+PIECE = 1 << 18
 #: Pairs of a point and a node, or of two points, that are compared at once.
 COMPARED = 1 << 16
 #: Pairs that the queries searched at once may come to, at most.
@@ -120,7 +121,7 @@ def sketch(texts: DataFrame, words: int) -> np.ndarray:
 
     SKETCH_RANGES rows of a fixed size come to the driver, whatever the input.
     """
-    rows = texts.select("text").mapInArrow(_sketch(words), "at int, counts binary").repartition("at").mapInArrow(_added, "at int, counts binary")
+    rows = texts.select("text").mapInArrow(lean(_sketch(words)), "at int, counts binary").repartition("at").mapInArrow(lean(_added), "at int, counts binary")
     counts = np.zeros((SKETCH_RANGES, (2 << SKETCH_BITS) // SKETCH_RANGES), np.int64)
     for r in rows.collect():
         counts[r["at"]] += _unpacked(bytes(r["counts"]))
@@ -387,7 +388,7 @@ def _marked_keys(keys: DataFrame):
     """A broadcast bit array, of a fixed size, in which every key has its bit. SKETCH_RANGES rows come to the driver."""
     ranged = keys.repartition(F.expr(f"(key & {_BITS - 1}) div {_BITS // SKETCH_RANGES}"))
     bits = np.zeros((SKETCH_RANGES, _BITS // SKETCH_RANGES // 8), np.uint8)
-    for r in ranged.mapInArrow(_marks, "at int, bits binary").collect():
+    for r in ranged.mapInArrow(lean(_marks), "at int, bits binary").collect():
         bits[r["at"]] |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
     return keys.sparkSession.sparkContext.broadcast(bits.ravel())
 
@@ -425,7 +426,7 @@ def _texts(slim: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame
     stand_ins = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
     stand_ins = materialize(stand_ins)
     shared = _marked_keys(stand_ins.select("key"))
-    some = slim.select("key", "text").where("text IS NOT NULL").mapInArrow(_marked(shared), "key long, text string")
+    some = slim.select("key", "text").where("text IS NOT NULL").mapInArrow(lean(_marked(shared)), "key long, text string")
     return materialize(some.groupBy("key").agg(F.first("text").alias("text")).join(stand_ins, "key").select("node", "text"))
 
 
@@ -445,10 +446,10 @@ def _near(percent: int):
 def _links(candidates: DataFrame, points: DataFrame, slim: DataFrame, described: DataFrame, words: int, percent: int) -> DataFrame:
     """The linked ones of the candidates, given once or more: first by finer points, then by the sets."""
     of = lambda s: points.select(F.col("node").alias(s), F.col("fine").alias(f"fine_{s}"), F.col("size").alias(f"size_{s}"))
-    pairs = materialize(candidates.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(_near(percent), "a long, b long"))
+    pairs = materialize(candidates.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(_near(percent)), "a long, b long"))
     texts = _texts(slim, described, pairs)
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    out = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+    out = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify(words, percent)), "a long, b long"))
     discard(texts)
     discard(pairs)
     return out
@@ -479,7 +480,7 @@ def _enter(described: DataFrame, split: list[tuple[int, int]]) -> DataFrame:
         pivot = F.coalesce(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("sets")) < 8 * PIVOTS, F.lit(False))
         at = F.when(F.col("sets").isNull(), F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
         rows = rows.select("page", F.explode(at).alias("part"), "node", pivot.alias("pivot")).repartition("page", "part")
-    return rows.sortWithinPartitions("page", "part", "node").mapInArrow(_entered([p for p, _ in split]), "page long, part int, node long, pivot boolean")
+    return rows.sortWithinPartitions("page", "part", "node").mapInArrow(lean(_entered([p for p, _ in split])), "page long, part int, node long, pivot boolean")
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -493,12 +494,12 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     slim = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).withColumn("key", F.xxhash64("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(sketch(slim, words))
-    described = materialize(slim.mapInArrow(_describe(words, percent, shared), f"id {kind}, key long, n_shingles long, node long, point binary, fine binary, pages array<bigint>"))
+    described = materialize(slim.mapInArrow(lean(_describe(words, percent, shared)), f"id {kind}, key long, n_shingles long, node long, point binary, fine binary, pages array<bigint>"))
     split = _split_pages(described)
     entered = materialize(_enter(described, split))
     points = materialize(described.where(F.col("point").isNotNull()).groupBy("node").agg(F.first("point").alias("point"), F.first("fine").alias("fine"), F.first("n_shingles").alias("size")).join(entered.select("node").distinct(), "node"))
 
-    first = _paged(entered, points, "point").mapInArrow(_search(percent, False), "a long, b long")
+    first = _paged(entered, points, "point").mapInArrow(lean(_search(percent, False)), "a long, b long")
     links = _links(first, points, slim, described, words, percent)
     roots = components(links)
 
@@ -513,7 +514,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     here = F.pmod(F.xxhash64("node"), parts).cast("int")
     at = F.when(F.col("asked"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(here))
     rows = rows.select("page", F.explode(at).alias("part"), "node", "label", "asked", here.alias("here")).withColumn("stored", F.col("part") == F.col("here")).drop("here")
-    second = _paged(rows, points, "fine").mapInArrow(_search(percent, True), "a long, b long")
+    second = _paged(rows, points, "fine").mapInArrow(lean(_search(percent, True)), "a long, b long")
     more = _links(second, points, slim, described, words, percent)
     ties = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(ties.unionByName(more))

@@ -11,6 +11,8 @@ _IN_WORD[[32, 9, 10, 11, 12, 13]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Numbers of a process's first table of powers, 4 MB, and of the next.
+_FEW_POWERS, _MANY_POWERS = 1 << 19, 1 << 21
 _CHAIN = np.uint64(0xD1342543DE82EF95)
 
 
@@ -26,9 +28,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
-        steps[0] = 1
-        known = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+        known = _POWERS[base] = np.full(_FEW_POWERS if n <= _FEW_POWERS else max(n, _MANY_POWERS), base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
     return known[:n]
 
 

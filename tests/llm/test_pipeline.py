@@ -1,10 +1,13 @@
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import langid
+from millrace.llm import arrow, jaccard_join, langid
 from tests.llm.conftest import SF
 from tests.llm.test_operators import WORDS, brute_components, brute_hits
 
@@ -80,3 +83,49 @@ def test_stages_take_odd_tables(spark, tmp_path):
 def test_run(spark):
     rows = pipeline.run(spark, SF)
     assert rows.count() > 0 and {"doc_id", "text", "shard"} <= set(rows.columns)
+
+
+#: A fresh process that counts the shingles of 14 MB as a worker does: rows out, MB that it has beyond its start at most, and at the end.
+_WORKER = """
+import re, threading, time
+import numpy as np
+import pyarrow as pa
+from millrace.llm import jaccard_join
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = np.random.default_rng(3)
+words = np.array([f"word{i}" for i in range(5000)])
+texts = [" ".join(rng.choice(words, 400)) for _ in range(4000)]
+batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2000])], ["text"]) for i in (0, 2000)]
+most = before = held()
+
+def watch():
+    global most
+    while True:
+        most = max(most, held())
+        time.sleep(0.002)
+
+threading.Thread(target=watch, daemon=True).start()
+found = list(getattr(jaccard_join, "lean", lambda f: f)(jaccard_join._sketch(5))(iter(batches)))
+print(len(found), most - before, held() - before)
+"""
+
+
+def test_workers_of_near_duplicates_are_small():
+    """At work, its arrays stay in bounds; after a task, a worker keeps next to nothing beside the jobs that follow."""
+    ran = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, timeout=120, cwd=Path(pipeline.__file__).parent)
+    found, most, kept = map(float, ran.stdout.split()[-3:])
+    assert found == jaccard_join.SKETCH_RANGES and most < 55 and kept < 25
+
+
+def test_lean_gives_back_however_a_task_ends(monkeypatch):
+    called = []
+    monkeypatch.setattr(arrow, "give_back", lambda: called.append(1))
+    twice = arrow.lean(lambda batches: (2 * b for b in batches))
+    assert list(twice(iter([1, 2]))) == [2, 4] and len(called) == 1
+    broken = twice(iter([1, 2]))
+    next(broken)
+    broken.close()
+    assert len(called) == 2
