@@ -95,10 +95,16 @@ def output_schema(fields: Iterable[Mapping]) -> dict:
     return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
 
 
-def work_spec(inputs: Column, *, operation: str, instruction: str, schema: dict, provider: str, model: str, params: dict) -> Column:
-    """Canonical JSON of one unit of work around the canonical inputs of a row."""
+def spec_ends(*, operation: str, instruction: str, schema: dict, provider: str, model: str, params: dict) -> tuple[str, str]:
+    """What stands before and after the canonical inputs in the canonical JSON of one unit of work."""
     rest = {"instruction": instruction, "model": model, "operation": operation, "output_schema": schema, "params": params, "provider": provider}
-    return F.concat(F.lit('{"inputs":'), inputs, F.lit("," + canonical_json(rest)[1:]))
+    return '{"inputs":', "," + canonical_json(rest)[1:]
+
+
+def work_spec(inputs: Column, **material) -> Column:
+    """Canonical JSON of one unit of work around the canonical inputs of a row; material as in spec_ends."""
+    before, after = spec_ends(**material)
+    return F.concat(F.lit(before), inputs, F.lit(after))
 
 
 def work_key(spec: Column) -> Column:

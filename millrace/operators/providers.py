@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
 import urllib.error
 import urllib.request
 from abc import ABC, abstractmethod
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from millrace.functions.canonical import canonical_json
@@ -44,20 +46,21 @@ class Provider(ABC):
     @abstractmethod
     def invoke(self, request: Request) -> Response: ...
 
-    def submit_batch(self, requests: list[tuple[str, Request]]) -> str:
+    def submit_batch(self, requests: Iterable[tuple[str, Request]]) -> str:
+        """Requests are read once; more of them may come than memory holds."""
         raise ProviderFault("unsupported", f"`{self.id}` has no batch mode")
 
     def poll_batch(self, job: str) -> str:
         """running, completed or failed."""
         raise ProviderFault("unsupported", f"`{self.id}` has no batch mode")
 
-    def fetch_batch(self, job: str) -> dict[str, Response | str]:
-        """By key: a response, or an error's text."""
+    def fetch_batch(self, job: str) -> Iterator[tuple[str, Response | str]]:
+        """Keys with a response, or an error's text."""
         raise ProviderFault("unsupported", f"`{self.id}` has no batch mode")
 
 
 class MockProvider(Provider):
-    """Answers are functions of the inputs and the instruction; batch jobs are done after some polls."""
+    """Answers are functions of the inputs and the instruction; batch jobs are done after some polls, their answers in a file."""
 
     id, has_batch = "mock", True
 
@@ -88,10 +91,13 @@ class MockProvider(Provider):
         self.calls += 1
         return self._answer(request)
 
-    def submit_batch(self, requests: list[tuple[str, Request]]) -> str:
-        self.calls += len(requests)
-        job = f"mock-job-{len(self.jobs)}"
-        self.jobs[job] = [self.polls, requests]
+    def submit_batch(self, requests: Iterable[tuple[str, Request]]) -> str:
+        job, answers = f"mock-job-{len(self.jobs)}", tempfile.TemporaryFile("w+")
+        for key, request in requests:
+            self.calls += 1
+            r = self._answer(request)
+            answers.write(json.dumps([key, r.text, r.input_tokens, r.output_tokens, r.request_id]) + "\n")
+        self.jobs[job] = [self.polls, answers]
         return job
 
     def poll_batch(self, job: str) -> str:
@@ -100,8 +106,11 @@ class MockProvider(Provider):
         self.jobs[job][0] -= 1
         return "completed" if self.jobs[job][0] < 0 else "running"
 
-    def fetch_batch(self, job: str) -> dict[str, Response | str]:
-        return {key: self._answer(r) for key, r in self.jobs[job][1]}
+    def fetch_batch(self, job: str) -> Iterator[tuple[str, Response | str]]:
+        answers = self.jobs[job][1]
+        answers.seek(0)
+        for key, *response in map(json.loads, answers):
+            yield key, Response(*response)
 
 
 class ChatCompletions(Provider):

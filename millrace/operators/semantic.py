@@ -2,16 +2,18 @@
 
 Keys are column expressions. Rows are counted per key and joined with the ledger; the keys that it has no answer for are
 resolved on the driver, in the order in which they arrived and outside Spark's retries; then answers are joined back, and
-everything downstream can be run again freely. What streams through the driver is the unresolved work alone, a partition at a
-time, so a ledger of completed work costs joins, not calls.
+everything downstream can be run again freely. What streams through the driver is the unresolved work alone, a portion at a
+time, so a ledger of completed work costs joins, not calls. Nothing on the driver grows with the work but files.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import IO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from millrace.session import materialize
 
 _SPARK = {"utf8": "string", "int64": "long", "float64": "double", "bool": "boolean"}
 POLL_SECONDS, MAX_POLLS = 0.25, 2400
+#: Bytes of inputs that the driver is given at once, about.
+PORTION = 8_000_000
 
 
 class BreakerTripped(RuntimeError):
@@ -72,12 +76,17 @@ class Counters:
     in_a_row: int = field(default=0, repr=False)
 
 
+def _material(step: Step, provider: str) -> dict:
+    """What of a step its work's keys depend on."""
+    params = {"max_output_tokens": step.max_output_tokens, "temperature": 0}
+    return {"operation": step.operation, "instruction": step.instruction, "schema": step.schema, "provider": provider, "model": step.model, "params": params}
+
+
 def keyed(df: DataFrame, step: Step, provider: str) -> DataFrame:
     """df with __inputs, __spec and __key."""
     C.check_inputs(df, step.inputs, step.id)
-    params = {"max_output_tokens": step.max_output_tokens, "temperature": 0}
     rows = df.withColumn("__inputs", C.canonical_inputs(df, step.inputs))
-    rows = rows.withColumn("__spec", C.work_spec(F.col("__inputs"), operation=step.operation, instruction=step.instruction, schema=step.schema, provider=provider, model=step.model, params=params))
+    rows = rows.withColumn("__spec", C.work_spec(F.col("__inputs"), **_material(step, provider)))
     return rows.withColumn("__key", C.work_key(F.col("__spec")))
 
 
@@ -105,12 +114,15 @@ class Resolver:
         self._invalid(key, f"its input has about {estimate} tokens, more than {most}", None)
         return True
 
-    def _reserve(self, requests: list[str]) -> None:
+    def _needed(self, inputs: str) -> int:
+        """Tokens that a request is held to the ceiling with; none without a ceiling."""
+        return 0 if self.step.max_run_tokens is None else self._worst(inputs) + (self.step.max_output_tokens or 0)
+
+    def _reserve(self, requests: int, needed: int) -> None:
         """Nothing is sent if what it may take goes over the run's ceiling."""
-        ceiling, cap = self.step.max_run_tokens, self.step.max_output_tokens or 0
-        needed = sum(self._worst(x) + cap for x in requests) if ceiling is not None else 0
+        ceiling = self.step.max_run_tokens
         if ceiling is not None and self.n.tokens + needed > ceiling:
-            raise CeilingReached(f"step `{self.step.id}`: {len(requests)} requests may take {needed} tokens beyond {self.n.tokens}, more than {ceiling}")
+            raise CeilingReached(f"step `{self.step.id}`: {requests} requests may take {needed} tokens beyond {self.n.tokens}, more than {ceiling}")
 
     def _take(self, key: str, r: Response, online: bool) -> None:
         self.n.tokens += r.input_tokens + r.output_tokens
@@ -137,27 +149,27 @@ class Resolver:
                 continue
             yield key, inputs
 
-    def _request(self, inputs: str) -> Request:
-        return Request(self.step.instruction, json.loads(inputs), self.step.schema, self.step.max_output_tokens)
+    def _request(self, inputs: dict) -> Request:
+        return Request(self.step.instruction, inputs, self.step.schema, self.step.max_output_tokens)
 
     def online(self, work: Iterator[tuple[str, str, str]]) -> None:
         for key, inputs in self._open(work):
-            self._reserve([inputs])
+            self._reserve(1, self._needed(inputs))
             self.ledger.mark_submitted(key, "online")
             self.n.calls += 1
             try:
-                answer = self.provider.invoke(self._request(inputs))
+                answer = self.provider.invoke(self._request(json.loads(inputs)))
             except ProviderFault as e:
                 self.ledger.mark_failed(key, str(e))
                 raise
             self._take(key, answer, online=True)
 
-    def _drain(self, job: str, keys: set[str]) -> None:
+    def _drain(self, job: str) -> None:
         for _ in range(MAX_POLLS):
             status = self.provider.poll_batch(job)
             if status == "completed":
-                for key, answer in self.provider.fetch_batch(job).items():
-                    if key not in keys:
+                for key, answer in self.provider.fetch_batch(job):
+                    if not self.ledger.waits_for(key, job):
                         continue
                     if isinstance(answer, str):
                         self.ledger.mark_failed(key, answer)
@@ -166,55 +178,75 @@ class Resolver:
                         self._take(key, answer, online=False)
                 return
             if status == "failed":
-                for key in keys:
-                    self.ledger.mark_failed(key, f"batch job {job} failed")
+                self.ledger.mark_job_failed(job, f"batch job {job} failed")
                 raise ProviderFault("server", f"batch job {job} failed")
             time.sleep(POLL_SECONDS)
         raise ProviderFault("timeout", f"batch job {job} is still running; a later run takes it up")
 
     def reconcile(self) -> None:
         """Takes up every job that an earlier run has left, whether this input has its keys or not. Nothing is sent."""
-        jobs: dict[str, set[str]] = {}
-        for key, job in self.ledger.submitted():
-            if job not in ("", "online"):
-                jobs.setdefault(job, set()).add(key)
-        for job in sorted(jobs):
-            self._drain(job, jobs[job])
+        for job in self.ledger.jobs():
+            self._drain(job)
 
     def batch(self, work: Iterator[tuple[str, str, str]]) -> None:
-        """All open work as one job, held to the ceiling as a whole before it is sent."""
-        ask = list(self._open(work))
-        if not ask:
-            return
-        self._reserve([inputs for _, inputs in ask])
-        job = self.provider.submit_batch([(key, self._request(inputs)) for key, inputs in ask])
-        self.n.calls += len(ask)
-        self.ledger.mark_all_submitted([key for key, _ in ask], job)
-        self._drain(job, {key for key, _ in ask})
+        """All open work as one job, held to the ceiling as a whole before it is sent. Keys wait in a file, inputs in the ledger."""
+        with tempfile.TemporaryFile("w+") as keys:
+            asked = needed = 0
+            for key, inputs in self._open(work):
+                keys.write(f"{key}\n")
+                asked, needed = asked + 1, needed + self._needed(inputs)
+            if not asked:
+                return
+            self._reserve(asked, needed)
+            job = self.provider.submit_batch((key, self._request(self.ledger.inputs(key))) for key in _lines(keys))
+            self.n.calls += asked
+            self.ledger.mark_all_submitted(_lines(keys), job)
+        self._drain(job)
+
+
+def _lines(file: IO[str]) -> Iterator[str]:
+    file.seek(0)
+    return map(str.strip, file)
 
 
 def _unresolved(keys: DataFrame, ledger: Ledger) -> DataFrame:
     """The keys that the ledger has no answer for and that no review holds back."""
     spark = keys.sparkSession
-    done = ledger.snapshot(spark, "state = 'completed'").select(F.col("work_key").alias("__key"))
+    done = ledger.completed_keys(spark).select(F.col("work_key").alias("__key"))
     held = ledger.withheld_keys(spark).select(F.col("work_key").alias("__key"))
     return keys.join(done.unionByName(held), "__key", "left_anti")
 
 
+def _work(rows: DataFrame, waiting: DataFrame, step: Step, provider: str) -> Iterator[tuple[str, str, str]]:
+    """(key, inputs, spec) of the waiting keys in the order of arrival, a portion of about PORTION bytes on the driver at a time.
+
+    Keys and their order are a table; a key's inputs follow from it, so texts can be dealt again without becoming one.
+    """
+    size = waiting.agg(F.sum("size")).first()[0]
+    if size is None:
+        return
+    before, after = C.spec_ends(**_material(step, provider))
+    order = (F.col("first").asc_nulls_last(), F.col("__key").asc())
+    texts = rows.groupBy("__key").agg(F.first("__inputs").alias("__inputs")).join(waiting.select("__key", "first"), "__key")
+    dealt = texts.repartitionByRange(1 + size // PORTION, *order).sortWithinPartitions(*order)
+    for key, inputs in dealt.select("__key", "__inputs").toLocalIterator():
+        yield key, inputs, before + inputs + after
+
+
 def apply(df: DataFrame, step: Step, provider: Provider, ledger: Ledger) -> tuple[DataFrame, Counters]:
     """df with the step's fields for every resolved row, and what it took.
 
     Rows that stay without an answer are counted as withheld if a review holds them back, else as dropped.
     """
     rows = keyed(df, step, provider.id).withColumn("__at", F.monotonically_increasing_id())
-    keys = materialize(rows.groupBy("__key").agg(F.min_by(F.struct("__inputs", "__spec"), "__at").alias("work"), F.min("__at").alias("first"), F.count("*").alias("rows")))
+    keys = materialize(rows.groupBy("__key").agg(F.min("__at").alias("first"), F.count("*").alias("rows"), F.max(F.octet_length("__inputs")).cast("long").alias("size")))
     resolver = Resolver(step, provider, ledger)
     if step.mode == "batch":
         resolver.reconcile()
-    waiting = materialize(_unresolved(keys, ledger).orderBy("first"))
-    work = ((r["__key"], r["work"]["__inputs"], r["work"]["__spec"]) for r in waiting.orderBy("first").toLocalIterator())
+    waiting = materialize(_unresolved(keys, ledger))
+    work = _work(rows, waiting, step, provider.id)
     (resolver.batch if step.mode == "batch" else resolver.online)(work)
-    known = materialize(ledger.snapshot(df.sparkSession, "state = 'completed'").select(F.col("work_key").alias("__key"), F.col("output_json").alias("__output")).join(keys.select("__key"), "__key", "left_semi"))
+    known = materialize(ledger.answers(df.sparkSession).select(F.col("work_key").alias("__key"), F.col("output_json").alias("__output")).join(keys.select("__key"), "__key", "left_semi"))
     held = ledger.withheld_keys(df.sparkSession).select(F.col("work_key").alias("__key"), F.lit(True).alias("held"))
     n = resolver.n
     counted = keys.join(known.select("__key", F.lit(True).alias("done")), "__key", "left").join(held, "__key", "left")

@@ -1,6 +1,11 @@
+import ctypes
+import gc
 import json
+import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import evaluate, relational, review, semantic
 from millrace.operators.ledger import Ledger
@@ -187,3 +192,38 @@ def test_evaluation(spark, tmp_path):
     assert evaluate.persist(items, report, str(tmp_path), "m/1").endswith("-mock-m_1")
     with pytest.raises(ValueError):
         evaluate.load_corpus("fields: [{name: a, type: utf8}]\nitems: [{id: x, expected: {}}]")
+
+
+def memory(what):
+    return int(re.search(rf"{what}:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1000
+
+
+def grown(run):
+    """MB that this process takes beyond what it had, at most, while run runs."""
+    run(1)  # what is imported and kept anyway
+    gc.collect()
+    ctypes.CDLL(None).malloc_trim(0)
+    Path("/proc/self/clear_refs").write_text("5")
+    before = memory("VmRSS")
+    run(800)
+    return memory("VmHWM") - before
+
+
+def long_texts(spark, n):
+    """80 MB of texts for 800 rows."""
+    return spark.range(n).select("id", F.repeat(F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(n))), 256), 1600).alias("description"))
+
+
+def test_a_batch_is_not_held_in_memory(spark):
+    def run(n):
+        out, found = semantic.apply(long_texts(spark, n), step(mode="batch"), MockProvider(), Ledger())
+        assert found.calls == out.count() == n
+
+    assert grown(run) < 40
+
+
+def test_packed_specs_are_read_whole():
+    ledger, spec = Ledger(), '{"inputs":{"description":"é\\u0000"},"model":"m"}'
+    ledger.ensure_pending("k", spec)
+    ledger.enqueue_review("k", "s", "odd", None)
+    assert ledger.item("k")["spec_json"] == ledger.reviews()[0]["spec_json"] == spec and ledger.inputs("k") == {"description": "é\0"}
