@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import IO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import canonical as C
@@ -233,12 +233,12 @@ def _work(rows: DataFrame, waiting: DataFrame, step: Step, provider: str) -> Ite
         yield key, inputs, before + inputs + after
 
 
-def apply(df: DataFrame, step: Step, provider: Provider, ledger: Ledger) -> tuple[DataFrame, Counters]:
+def apply(df: DataFrame, step: Step, provider: Provider, ledger: Ledger, arrival: Column | None = None) -> tuple[DataFrame, Counters]:
     """df with the step's fields for every resolved row, and what it took.
 
-    Rows that stay without an answer are counted as withheld if a review holds them back, else as dropped.
+    Rows arrive in the order of `arrival`, nulls last; without it in that of Spark's scan, which takes large files first. Rows that stay without an answer are counted as withheld if a review holds them back, else as dropped.
     """
-    rows = keyed(df, step, provider.id).withColumn("__at", F.monotonically_increasing_id())
+    rows = keyed(df, step, provider.id).withColumn("__at", F.monotonically_increasing_id() if arrival is None else arrival)
     keys = materialize(rows.groupBy("__key").agg(F.min("__at").alias("first"), F.count("*").alias("rows"), F.max(F.octet_length("__inputs")).cast("long").alias("size")))
     resolver = Resolver(step, provider, ledger)
     if step.mode == "batch":

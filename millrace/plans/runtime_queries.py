@@ -46,7 +46,7 @@ def semantic_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the ledger has when the run's ceiling stops it."""
     ledger = Ledger()
     try:
-        semantic.apply(_documents(spark, sf_dir), _step(max_run_tokens=CEILING, max_output_tokens=CAP), MockProvider(), ledger)
+        semantic.apply(_documents(spark, sf_dir), _step(max_run_tokens=CEILING, max_output_tokens=CAP), MockProvider(), ledger, F.col("doc_id"))
     except semantic.CeilingReached:
         pass
     return spark.createDataFrame([tuple(ledger.counts().values())], "pending long, submitted long, completed long, failed long")

@@ -227,3 +227,17 @@ def test_packed_specs_are_read_whole():
     ledger.ensure_pending("k", spec)
     ledger.enqueue_review("k", "s", "odd", None)
     assert ledger.item("k")["spec_json"] == ledger.reviews()[0]["spec_json"] == spec and ledger.inputs("k") == {"description": "é\0"}
+
+
+def test_arrival_is_the_queries_order_not_the_scans(spark, tmp_path):
+    from millrace.plans import catalog, runtime_queries
+    from tests.compare import duck, rows as plain
+
+    folder = tmp_path / "documents.parquet"
+    texts = spark.createDataFrame([(i, f"text {i} " + "word " * (20 * i)) for i in range(1, 200)] + [(None, "none")], "doc_id long, text string")
+    for part in ("doc_id <= 20", "doc_id > 20 OR doc_id IS NULL"):  # Spark reads the larger file first
+        texts.where(part).coalesce(1).write.mode("append").parquet(str(folder))
+    con = duck(str(tmp_path / "none"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    expected = con.execute(catalog.ORACLES["semantic_ceiling"]).fetch_df()
+    assert plain(runtime_queries.semantic_ceiling(spark, str(tmp_path)).toPandas()) == plain(expected)
