@@ -222,6 +222,15 @@ def test_a_batch_is_not_held_in_memory(spark):
     assert grown(run) < 40
 
 
+def test_work_in_review_is_not_held_in_memory(spark):
+    def run(n):
+        ledger = Ledger()
+        _, found = semantic.apply(long_texts(spark, n), step(on_invalid="review", max_input_tokens=100), MockProvider(), ledger)
+        assert found.withheld == ledger.review_counts()["pending"] == n
+
+    assert grown(run) < 40
+
+
 def test_packed_specs_are_read_whole():
     ledger, spec = Ledger(), '{"inputs":{"description":"é\\u0000"},"model":"m"}'
     ledger.ensure_pending("k", spec)
