@@ -222,6 +222,16 @@ def test_a_batch_is_not_held_in_memory(spark):
     assert grown(run) < 40
 
 
+def test_work_of_passes_through_one_ledger_is_not_held_in_memory(spark):
+    def run(n):
+        provider, ledger = MockProvider(), Ledger()
+        for calls in (n, 0):
+            _, found = semantic.apply(long_texts(spark, n), step(), provider, ledger)
+            assert (found.seen, found.calls) == (n, calls)
+
+    assert grown(run) < 40
+
+
 def test_work_in_review_is_not_held_in_memory(spark):
     def run(n):
         ledger = Ledger()
